@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lines, pii, quality, revisits, urls
+from . import langid, lines, pieces, pii, quality, revisits, urls
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisits.digest(table(spark, sf_dir, "pages"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_pages(table(spark, sf_dir, "pages"))
 
@@ -31,7 +35,11 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op3_url_filter, op4_host_quality, op6_personal_data, op8_line_dedup)}
+def op10_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_language, op3_url_filter, op4_host_quality, op6_personal_data, op8_line_dedup, op10_n_best_pieces)}
 
 SQL: dict[str, str] = {}
 
