@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, langid, lines, pieces, pii, quality, revisits, urls
+from . import decontam, jaccard, langid, lines, pieces, pii, quality, revisits, urls
 from .common import table
 
 
@@ -35,6 +36,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = jaccard.near_classes(table(spark, sf_dir, "documents"), size=4, num=85, den=100)
+    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
@@ -43,7 +49,7 @@ def op10_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_language, op3_url_filter, op4_host_quality, op5_benchmark_leaks, op6_personal_data, op8_line_dedup, op10_n_best_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_language, op3_url_filter, op4_host_quality, op5_benchmark_leaks, op6_personal_data, op7_jaccard_join, op8_line_dedup, op10_n_best_pieces)}
 
 SQL: dict[str, str] = {}
 
