@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lines, pieces, pii, quality, revisits, urls
+from . import decontam, jaccard, langid, lines, pieces, pii, quality, revisits, suffixes, urls
 from .common import table
 
 
@@ -45,11 +45,15 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digest(table(spark, sf_dir, "documents"))
 
 
+def op9_byte_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_n_best_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_language, op3_url_filter, op4_host_quality, op5_benchmark_leaks, op6_personal_data, op7_jaccard_join, op8_line_dedup, op10_n_best_pieces)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_revisits, op2_language, op3_url_filter, op4_host_quality, op5_benchmark_leaks, op6_personal_data, op7_jaccard_join, op8_line_dedup, op9_byte_dedup, op10_n_best_pieces)}
 
 SQL: dict[str, str] = {}
 
