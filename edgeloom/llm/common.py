@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +55,15 @@ def drop_staged(*frames: DataFrame) -> None:
 
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished steps, which it does once the driver has collected its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows where condition is true, for conditions on computed columns: a plain filter would be pushed below them and compute each of their parts again for every mention."""
+    return df.withColumn("_keep", F.explode(F.when(condition, F.array(F.lit(1))).otherwise(F.expr("cast(array() as array<int>)")))).drop("_keep")
 
 
 def text_key(text: Column) -> Column:

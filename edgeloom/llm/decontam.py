@@ -165,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     schema = StructType([StructField(key, ids.dataType), StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("question_overlap", DoubleType()), StructField("answer_overlap", DoubleType())])
     chars = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     rounds = max(1, -(-chars // CHUNK_CHARS))
-    hits = spark.createDataFrame([], schema)
+    hits = None
     for r in range(rounds):
         items = benchmark.where(F.pmod(F.xxhash64(item, item_text), F.lit(rounds)) == r).select(F.col(item).cast("long"), item_text).distinct().collect()
         index = spark.sparkContext.broadcast(Index([(x[0], x[1]) for x in items]))
@@ -183,7 +183,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
                         cols = [batch.column(0).take(rows), pa.array([i for _, i in best], pa.int64()), *(pa.array([b[c] for b in best.values()], pa.float64()) for c in range(3))]
                         yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema.fields])
 
-        hits = hits.unionByName(docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema))
+        found = docs.select(f"`{key}`", f"`{text}`").mapInArrow(run, schema)
+        hits = found if hits is None else hits.unionByName(found)
     return hits
 
 
@@ -200,8 +201,9 @@ def _groups(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The documents in which find_leaks() finds nothing, null keys included. The ids found are as many as there are leaks, and join by size."""
+    """The documents in which find_leaks() finds nothing, all columns unchanged. A row is known by its id and text, so a clean one stays whatever shares its id, null ids included."""
     from .common import staged
 
-    bad = staged(find_leaks(docs, benchmark, text, key).select(F.col(key).alias("_leak")).distinct())
-    return docs.join(bad, docs[key].eqNullSafe(bad["_leak"]), "left_anti")
+    row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
+    bad = staged(find_leaks(docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")), benchmark, "_text", "_row").select("_row").distinct())
+    return docs.join(bad, row == F.col("_row"), "left_anti")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, drop_staged, staged
+from .common import SPACE, drop_staged, keep_where, staged
 
 #: Characters that count as symbols, and white space as the word pattern has it (fixed values).
 SYMBOLS = "#*$%&|<>"
@@ -77,7 +77,7 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
     drop_staged(rules)
     clash = {*METRICS, "_words", "_windows", "_sorted", "_starts", "_lines", "_host"} & {*docs.columns}
     if clash:
-        ok = rule_metrics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text)), text).where("not base_failed").select("_row.*")
+        ok = keep_where(rule_metrics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text)), text), ~F.col("base_failed")).select("_row.*")
     else:
-        ok = rule_metrics(docs, text).where("not base_failed").select(*docs.columns)
+        ok = keep_where(rule_metrics(docs, text), ~F.col("base_failed")).select(*docs.columns)
     return ok.join(bad.withColumnRenamed("_host", "_bad_host"), ok[host] == F.col("_bad_host"), "left_anti")
