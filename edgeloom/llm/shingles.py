@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once.
-GROUP = 4_000_000
+GROUP = 1_000_000
 
 _rng = np.random.default_rng(20240607)
 _TABLE = _rng.integers(0, 2**64, 256, np.uint64)
