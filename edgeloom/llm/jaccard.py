@@ -193,6 +193,9 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     near = staged(parts.join(shared, F.col("sig") == F.col("_sig")).where("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
     drop_staged(shared)
     release_shuffles(spark)
+    slim = staged(sketch.select("id", "n", "cls"))
+    drop_staged(sketch)
+    sketch = slim
     wanted = near.select(F.col("x").alias("c")).unionByName(near.select(F.col("p").alias("c"))).distinct()
     wanted = staged(sketch.where("cls is not null and id is not null").select("id", "cls").join(wanted, F.col("cls") == F.col("c"), "left_semi").groupBy("cls").agg(F.min("id").alias("id")))
     sets = staged(_sets(docs, text, key, size, wanted))
