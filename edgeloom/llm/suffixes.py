@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, release_shuffles, staged
+from .common import drop_staged, release_shuffles, staged, text_key
 from .shingles import _TABLE, byte_groups, mix, powers
 
 LENGTH, GRAM = 50, 24
@@ -30,7 +30,7 @@ WINDOW = LENGTH - GRAM + 1
 #: An anchor of more documents than this, or than one document in RARE, is dealt by whole windows. At most RARE times the mean number of anchors of a document are.
 HOT, RARE = 512, 2000
 #: Leading bytes sampled from each task for the splitters, and bytes of output that a task holds before it passes them on.
-SAMPLED, FLUSH = 256, 48_000_000
+SAMPLED, FLUSH = 256, 12_000_000
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
@@ -295,6 +295,14 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
     return docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent).groupBy("bucket").applyInArrow(settle, "doc_id bigint, text_id bigint, spans binary")
 
 
+def _copies(named: DataFrame) -> DataFrame:
+    """(copy_id, copy_text) of texts that equal one of a smaller id by a 128-bit fingerprint. All their strings start there too, so they neither need a search nor cover more than it does."""
+    keyed = named.select("_doc", "_text", text_key(F.col("_bytes").cast("string")).alias("k")).select("_doc", "_text", "k.a", "k.b")
+    least = keyed.groupBy("a", "b").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most")).where("least < most").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "least")
+    again = keyed.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("_doc > least")
+    return again.select(F.col("_doc").alias("copy_id"), F.col("_text").alias("copy_text")).distinct()
+
+
 def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     off = np.cumsum(size) - size
     return raw[np.repeat(begin - off, size) + np.arange(int(size.sum()))]
@@ -324,6 +332,8 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     rows = rows.select("_doc", F.xxhash64("_t").alias("_text"), F.col("_t").cast("binary").alias("_bytes"))
     named = rows.where(f"_doc is not null and octet_length(_bytes) >= {LENGTH}")
+    copies = staged(_copies(named))
+    named = named.join(copies, (F.col("_doc") == F.col("copy_id")) & (F.col("_text") == F.col("copy_text")), "left_anti")
     n_docs = docs.count()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     found = staged(_shared_anchors(named, buckets, max(HOT, n_docs // RARE)))
@@ -336,15 +346,18 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     spans = staged(_covered(near, splitters, hot))
     drop_staged(found)
     release_shuffles(spark)
-    spans = spans.groupBy("doc_id", "text_id").agg(F.collect_list("spans").alias("spans"))
-    full = rows.join(spans, (F.col("_doc") == F.col("doc_id")) & (F.col("_text") == F.col("text_id")), "left").select("_doc", "_bytes", "spans")
+    spans = spans.groupBy("doc_id", "text_id").agg(F.collect_list("spans").alias("spans")).withColumn("whole", F.lit(False))
+    spans = spans.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_text").alias("text_id"), F.lit(None).cast("array<binary>").alias("spans"), F.lit(True).alias("whole")))
+    full = rows.join(spans, (F.col("_doc") == F.col("doc_id")) & (F.col("_text") == F.col("text_id")), "left").select("_doc", "_bytes", "spans", "whole")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for raw, packed in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for raw, packed, whole in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 raw = raw.as_py()
-                if packed:
+                if whole:
+                    out.append((len(raw), len(raw), 1, b""))
+                elif packed:
                     s = np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2).astype(np.int64)
                     s = s[np.argsort(s[:, 0], kind="stable")]
                     start, end = merge(s[:, 0], s[:, 1])
