@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,3 +71,15 @@ def keep_where(df: DataFrame, condition: Column) -> DataFrame:
 def text_key(text: Column) -> Column:
     """A 128-bit fingerprint of a text as two longs in a struct; null and '' differ."""
     return F.struct(F.xxhash64(F.lit(1), text).alias("a"), F.xxhash64(F.lit(2), text, F.coalesce(F.length(text), F.lit(-1))).alias("b"))
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Steps that run inside hand rows to Python in batches of so many, for rows that hold whole sets or texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)

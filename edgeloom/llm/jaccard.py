@@ -21,12 +21,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, release_shuffles, staged
+from .common import arrow_rows, drop_staged, release_shuffles, staged
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
 #: Sizes of one class differ by this factor; parts exceed the differences by SPARE; a region of LEAF sets is joined directly.
 CLASS, SPARE, LEAF = 1.6, 1.1, 64
+#: Rows of whole sets or texts that Python gets at once.
+BATCH = 400
 #: A region whose next shell holds more than STUCK of it isn't split further by pivots but dealt into blocks.
 STUCK, MAX_LEVELS = 0.8, 12
 
@@ -184,6 +186,11 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     texts are one class; rows that share an id are separate documents. Exact: candidates and windows lose no link, only
     pairs that would join one component again are left out.
     """
+    with arrow_rows(docs.sparkSession, BATCH):
+        return _near_classes(docs, text, key, size, num, den)
+
+
+def _near_classes(docs: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
     delta = 1 - num / den
     spark = docs.sparkSession
     sketch = staged(_sketch(docs, text, key, size, num, den))
