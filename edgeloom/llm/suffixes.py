@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_staged, release_shuffles, staged, text_key
+from .common import arrow_rows, drop_staged, release_shuffles, staged, text_key
 from .shingles import _TABLE, byte_groups, mix, powers
 
 LENGTH, GRAM = 50, 24
@@ -31,6 +31,8 @@ WINDOW = LENGTH - GRAM + 1
 HOT, RARE = 512, 2000
 #: Leading bytes sampled from each task for the splitters, and bytes of output that a task holds before it passes them on.
 SAMPLED, FLUSH = 256, 12_000_000
+#: Rows that Python gets at once.
+BATCH = 1000
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
@@ -336,14 +338,16 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     named = named.join(copies, (F.col("_doc") == F.col("copy_id")) & (F.col("_text") == F.col("copy_text")), "left_anti")
     n_docs = docs.count()
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    found = staged(_shared_anchors(named, buckets, max(HOT, n_docs // RARE)))
+    with arrow_rows(spark, BATCH):
+        found = staged(_shared_anchors(named, buckets, max(HOT, n_docs // RARE)))
     release_shuffles(spark)
     hot = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 2").select("prints").collect())])
     lead = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 3").select("prints").collect())]))
     splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 4 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
     wanted = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list("prints").alias("prints"))
     near = named.join(wanted, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", "_bytes", "prints")
-    spans = staged(_covered(near, splitters, hot))
+    with arrow_rows(spark, BATCH):
+        spans = staged(_covered(near, splitters, hot))
     drop_staged(found)
     release_shuffles(spark)
     spans = spans.groupBy("doc_id", "text_id").agg(F.collect_list("spans").alias("spans")).withColumn("whole", F.lit(False))
