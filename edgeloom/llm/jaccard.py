@@ -14,7 +14,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,12 +24,12 @@ from .common import arrow_rows, drop_staged, release_shuffles, staged
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
-#: Sizes of one class differ by this factor; parts exceed the differences by SPARE; a region of LEAF sets is joined directly.
-CLASS, SPARE, LEAF = 1.6, 1.1, 64
+#: Sizes of one class differ by this factor; parts exceed the differences by SPARE; a region of LEAF sets is joined directly, over CELLS cells of its incidence matrix at a time.
+CLASS, SPARE, LEAF, CELLS = 1.6, 1.1, 256, 20_000_000
 #: Rows of whole sets or texts that Python gets at once.
 BATCH = 400
 #: A region whose next shell holds more than STUCK of it isn't split further by pivots but dealt into blocks.
-STUCK, MAX_LEVELS = 0.8, 12
+STUCK, MAX_LEVELS = 0.5, 12
 
 
 @lru_cache(4096)
@@ -137,6 +136,24 @@ def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return both, len(a) + len(b) - both
 
 
+def overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections within a bounded group, as a product of its incidence matrix; elements of one set only are left out."""
+    size = [len(m) for m in sets]
+    _, column, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), size)
+    shared = n[column] > 1
+    row, column = row[shared], column[shared]
+    _, column = np.unique(column, return_inverse=True)
+    width, out = int(column.max()) + 1 if len(column) else 0, np.zeros((len(sets), len(sets)))
+    step = max(1, CELLS // max(1, len(sets)))
+    for at in range(0, width, step):
+        here = (column >= at) & (column < at + step)
+        m = np.zeros((len(sets), min(step, width - at)), np.float32)
+        m[row[here], column[here] - at] = 1
+        out += m @ m.T
+    return out.astype(np.int64) + np.diag(np.array(size) - out.diagonal().astype(np.int64))
+
+
 def _shells(measured: DataFrame, delta: float, region: list[str]) -> DataFrame:
     """(region, x, asks, own): every set in its shell and, as a boundary set, in the next; the innermost shell is done.
 
@@ -161,17 +178,15 @@ def _join_leaves(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFr
     """Links (a, b) of rows (region, x, asks, own, comp, side): all pairs of a region that may tie two components; with sides set, of different sides only."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, asks, own, comp, side, raw = (t.column(c).to_pylist() for c in ("x", "asks", "own", "comp", "side", "members"))
-        sets_ = [np.frombuffer(m, np.uint64) for m in raw]
-        links = []
-        for i, j in combinations(range(len(x)), 2):
-            if x[i] == x[j] or comp[i] == comp[j] or not (asks[i] or asks[j]) or not (own[i] or own[j]) or (side[i] is not None and side[i] == side[j]):
-                continue
-            small, large = sorted((len(sets_[i]), len(sets_[j])))
-            if den * small >= num * large:
-                both, either = overlap(sets_[i], sets_[j])
-                if den * both >= num * either:
-                    links.append((x[i], x[j]))
+        x, asks, own, comp = (np.array(t.column(c).to_pylist()) for c in ("x", "asks", "own", "comp"))
+        side = np.array([-1 if v is None else v for v in t.column("side").to_pylist()])
+        sets_ = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
+        size = np.array([len(m) for m in sets_])
+        both = overlaps(sets_)
+        ok = den * both >= num * (size[:, None] + size[None, :] - both)
+        ok &= (x[:, None] != x[None, :]) & (comp[:, None] != comp[None, :]) & (asks[:, None] | asks[None, :]) & (own[:, None] | own[None, :])
+        ok &= (side[:, None] < 0) | (side[:, None] != side[None, :])
+        links = [(int(x[i]), int(x[j])) for i, j in np.argwhere(np.triu(ok, 1))]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
     full = rows.join(sets, F.col("x") == F.col("cls")).select("region", "x", "asks", "own", "comp", "side", "members")
@@ -251,8 +266,8 @@ def _near_classes(docs: DataFrame, text: str, key: str, size: int, num: int, den
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of regions that pivots can't split, dealt into blocks of about LEAF / 2 sets; each pair of blocks is a region of its own, so no task holds a whole one."""
-    n = F.ceil(F.col("n") / (LEAF // 2)).cast("int")
+    """Rows of regions that pivots can't split, dealt into blocks of about LEAF sets; each pair of blocks is a region of its own, so no task holds a whole one."""
+    n = F.ceil(F.col("n") / LEAF).cast("int")
     dealt = rows.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("x", "own"), F.col("_n")).cast("int"))
     dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     i, j = F.least("_b", "_o"), F.greatest("_b", "_o")
