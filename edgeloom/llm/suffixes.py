@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ HOT, RARE = 512, 2000
 SAMPLED, FLUSH = 256, 12_000_000
 #: Rows that Python gets at once.
 BATCH = 1000
+#: Windows that a bucket works on at once.
+WINDOWS = 400_000
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
@@ -264,29 +267,23 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
         yield from out()
 
     def settle(t: pa.Table) -> pa.Table:
-        kinds, cols = t.column("kind").to_pylist(), {c: t.column(c).to_pylist() for c in ("doc", "text", "key", "at", "n", "bytes")}
-        read = lambda c, dtype, kind: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x, k in zip(cols[c], kinds, strict=True) if k == kind)])
-        doc, text, key, at, n = (read(c, d, 0) for c, d in _FIELDS)
-        raw = read("bytes", "u1", 0)
-        done = {c: read(c, d, 1) for c, d in _FIELDS}
-        spans = [(done["doc"], done["text"], done["at"].astype(np.int64), done["at"].astype(np.int64) + done["n"] + LENGTH - 1)]
-        if len(doc):
-            n = n.astype(np.int64)
-            size = n + LENGTH - 1
-            off = np.cumsum(size) - size
-            total, down = _prefix(raw), powers(len(raw) + 1)[1]
-            each = np.repeat(np.arange(len(n)), n)
-            begin = off[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-            print_ = mix((total[begin + LENGTH] - total[begin]) * down[begin])
-            order = multikey_order([key[each], print_])
-            k, p, d = key[each][order], print_[order], doc[each][order]
-            new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
-            least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
-            hit = np.zeros(len(each), bool)
-            hit[order] = least < d
-            x = np.flatnonzero(hit)
-            start = at[each[x]].astype(np.int64) + begin[x] - off[each[x]]
-            spans.append((doc[each[x]], text[each[x]], start, start + LENGTH))
+        open_, done = (t.filter(pc.equal(t.column("kind"), k)) for k in (0, 1))
+        doc, text, at, n = (_flat(done, c, d) for c, d in _FIELDS if c != "key")
+        spans = [(doc, text, at.astype(np.int64), at.astype(np.int64) + n + LENGTH - 1)]
+        doc, text, key, at, n = (_flat(open_, c, d) for c, d in _FIELDS)
+        raw, n = _flat(open_, "bytes", "u1"), n.astype(np.int64)
+        size = n + LENGTH - 1
+        off = np.cumsum(size) - size
+        order = multikey_order([key])
+        # records of one key stay together; so many at once that their windows fit
+        upto, ends = np.cumsum(n[order]), np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1 if len(key) else np.zeros(0, np.int64)
+        begin = 0
+        while begin < len(order):
+            k = int(np.searchsorted(upto[ends - 1], (upto[begin - 1] if begin else 0) + WINDOWS, side="right"))
+            end = max(int(ends[max(k - 1, 0)]), int(ends[np.searchsorted(ends, begin, side="right")]))
+            x = order[begin:end]
+            spans.append(_settle(doc[x], text[x], key[x], at[x].astype(np.int64), n[x], _gather(raw, off[x], size[x])))
+            begin = end
         doc, text, start, end = (np.concatenate([s[c] for s in spans]) for c in range(4))
         order = np.lexsort((start, text, doc))
         doc, text, start, end = doc[order], text[order], start[order], end[order]
@@ -297,6 +294,35 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
     return docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent).groupBy("bucket").applyInArrow(settle, "doc_id bigint, text_id bigint, spans binary")
 
 
+def _settle(doc: np.ndarray, text: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(doc, text, from, to) of the windows of these records that a smaller document has too."""
+    size = n + LENGTH - 1
+    off = np.cumsum(size) - size
+    total, down = _prefix(raw), powers(len(raw) + 1)[1]
+    each = np.repeat(np.arange(len(n)), n)
+    begin = off[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    print_ = mix((total[begin + LENGTH] - total[begin]) * down[begin])
+    order = multikey_order([key[each], print_])
+    k, p, d = key[each][order], print_[order], doc[each][order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
+    least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+    hit = np.zeros(len(each), bool)
+    hit[order] = least < d
+    x = np.flatnonzero(hit)
+    start = at[each[x]] + begin[x] - off[each[x]]
+    return doc[each[x]], text[each[x]], start, start + LENGTH
+
+
+def _flat(t: pa.Table, name: str, dtype: str) -> np.ndarray:
+    """All values of a column of packed numbers, end to end."""
+    if not t.num_rows:
+        return np.zeros(0, dtype)
+    column = pa.concat_arrays(t.column(name).chunks).cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data is not None else np.zeros(0, dtype)
+
+
 def _copies(named: DataFrame) -> DataFrame:
     """(copy_id, copy_text) of texts that equal one of a smaller id by a 128-bit fingerprint. All their strings start there too, so they neither need a search nor cover more than it does."""
     keyed = named.select("_doc", "_text", text_key(F.col("_bytes").cast("string")).alias("k")).select("_doc", "_text", "k.a", "k.b")
@@ -343,7 +369,7 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     release_shuffles(spark)
     hot = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 2").select("prints").collect())])
     lead = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 3").select("prints").collect())]))
-    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 4 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
+    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 8 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
     wanted = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list("prints").alias("prints"))
     near = named.join(wanted, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", "_bytes", "prints")
     with arrow_rows(spark, BATCH):
