@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .common import arrow_rows, drop_staged, release_shuffles, staged
 from .components import connected_components
 from .shingles import mix, shingle_sets
@@ -28,6 +29,8 @@ from .shingles import mix, shingle_sets
 CLASS, SPARE, LEAF, CELLS = 1.6, 1.1, 256, 20_000_000
 #: Rows of whole sets or texts that Python gets at once.
 BATCH = 400
+#: Bytes of parts that a task holds before it sends them on.
+FLUSH = 48_000_000
 #: A region whose next shell holds more than STUCK of it isn't split further by pivots but dealt into blocks.
 STUCK, MAX_LEVELS = 0.5, 12
 
@@ -91,6 +94,39 @@ def _sketch(docs: DataFrame, text: str, key: str, size: int, num: int, den: int)
     return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, sigs array<bigint>")
 
 
+def _shared_parts(sketch: DataFrame, buckets: int) -> DataFrame:
+    """(sig, cls) of the parts that several classes have, and no others: most parts are in one set only, and none of those moves as a row."""
+    from pyspark import TaskContext
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        names: list[int] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            prints, owner = (np.concatenate(x) for x in zip(*held, strict=True))
+            return shared.packed(shared.entries(prints, owner, np.array(names, np.int64), buckets, int(TaskContext.get().partitionId())))
+
+        for batch in batches:
+            sigs = batch.column(1)
+            n = np.diff(sigs.offsets.to_numpy())
+            held.append((sigs.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.repeat(np.arange(len(n)) + len(names), n)))
+            names += batch.column(0).to_pylist()
+            size += 20 * len(held[-1][0])
+            if size >= FLUSH:
+                yield out()
+                held, names, size = [], [], 0
+        if held:
+            yield out()
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, prints, _ = shared.meet(t, 1 << 60)
+        return pa.table({"sig": pa.array(prints.view(np.int64)), "cls": pa.array(ids)})
+
+    full = sketch.where("cls is not null and size(sigs) > 0").select("cls", "sigs")
+    return full.mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "sig bigint, cls bigint")
+
+
 def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) -> DataFrame:
     """(cls, members) of the classes in wanted (id, cls): the set's sorted fingerprints as bytes."""
 
@@ -209,11 +245,11 @@ def _near_classes(docs: DataFrame, text: str, key: str, size: int, num: int, den
     delta = 1 - num / den
     spark = docs.sparkSession
     sketch = staged(_sketch(docs, text, key, size, num, den))
-    parts = sketch.where("cls is not null").select(F.explode("sigs").alias("sig"), "cls")
-    shared = staged(parts.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").select(F.col("sig").alias("_sig"), "p"))
+    parts = staged(_shared_parts(sketch, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     release_shuffles(spark)
-    near = staged(parts.join(shared, F.col("sig") == F.col("_sig")).where("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
-    drop_staged(shared)
+    least = parts.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").select(F.col("sig").alias("_sig"), "p")
+    near = staged(parts.join(least, F.col("sig") == F.col("_sig")).where("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
+    drop_staged(parts)
     release_shuffles(spark)
     slim = staged(sketch.select("id", "n", "cls"))
     drop_staged(sketch)

@@ -23,6 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import shared
 from .common import arrow_rows, drop_staged, release_shuffles, staged, text_key
 from .shingles import _TABLE, byte_groups, mix, powers
 
@@ -92,28 +93,10 @@ def _shared_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
             if not held:
                 return
             prints, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((owner, prints))
-            prints, owner = prints[order], owner[order]
-            fresh = np.concatenate([[True], (prints[1:] != prints[:-1]) | (owner[1:] != owner[:-1])])
-            prints, owner = prints[fresh], owner[fresh]
-            begin = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-            n = np.diff([*begin, len(prints)])
-            many = np.repeat(n > 1, n)
-            names, rows = np.array(ids, np.int64), []
-            # known to be shared already: through any bucket
-            if many.any():
-                rows.append((int(TaskContext.get().partitionId()) % buckets, 1, names[owner[many]], prints[many], np.zeros(0, np.int64)))
-            one, count = prints[begin], n
-            bucket = (one >> np.uint64(40)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            for b in range(buckets):
-                x = order[cuts[b] : cuts[b + 1]]
-                if len(x):
-                    rows.append((b, 0, names[owner[begin[x]]], one[x], count[x]))
+            rows = shared.entries(prints, owner, np.array(ids, np.int64), buckets, int(TaskContext.get().partitionId()))
             if len(lead):
                 rows.append((int(TaskContext.get().partitionId()) % buckets, 3, np.zeros(0, np.int64), lead, np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([_pack(r[c], t) for r in rows], pa.binary()) for c, t in ((2, "<i8"), (3, "<u8"), (4, "<u4")))], names=["bucket", "kind", "ids", "prints", "counts"])
+            yield shared.packed(rows)
 
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
@@ -132,25 +115,13 @@ def _shared_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
         yield from out()
 
     def meet(t: pa.Table) -> pa.Table:
-        kinds = t.column("kind").to_pylist()
-        raw = {c: t.column(c).to_pylist() for c in ("ids", "prints", "counts")}
-        read = lambda c, dtype, kind: np.concatenate([np.zeros(0, dtype), *(np.frombuffer(x, dtype) for x, k in zip(raw[c], kinds, strict=True) if k == kind)])
-        prints, ids, counts = read("prints", "<u8", 0), read("ids", "<i8", 0), read("counts", "<u4", 0)
-        order = np.argsort(prints, kind="stable")
-        prints, ids, counts = prints[order], ids[order], counts[order]
-        begin = np.flatnonzero(np.concatenate([[len(prints) > 0], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-        n = np.add.reduceat(counts.astype(np.int64), begin) if len(begin) else begin
-        several = np.repeat(n, np.diff([*begin, len(prints)])) > 1 if len(begin) else np.zeros(0, bool)
-        prints_, ids_ = np.concatenate([prints[several], read("prints", "<u8", 1)]), np.concatenate([ids[several], read("ids", "<i8", 1)])
-        order = np.argsort(ids_, kind="stable")
-        prints_, ids_ = prints_[order], ids_[order]
-        cuts = np.flatnonzero(np.concatenate([[True], ids_[1:] != ids_[:-1]])) if len(ids_) else np.zeros(0, np.int64)
-        rows = [(int(ids_[a]), 1, _pack(prints_[a:z], "<u8")) for a, z in zip(cuts, [*cuts[1:], len(ids_)], strict=True)]
-        rows.append((None, 2, _pack(prints[begin][n > hot] if len(begin) else prints[:0], "<u8")))
-        rows.append((None, 3, _pack(read("prints", "<u8", 3), "<u8")))
+        ids, prints, many = shared.meet(t, hot)
+        rows = [(int(ids[a]), 1, _pack(prints[a:z], "<u8")) for a, z in shared.runs(ids)]
+        rows.append((None, 2, _pack(many, "<u8")))
+        rows.append((None, 3, _pack(shared.flat(t.filter(pc.equal(t.column("kind"), 3)), "prints", "<u8"), "<u8")))
         return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "prints": pa.array([r[2] for r in rows], pa.binary())})
 
-    sent = docs.select("_doc", "_bytes").mapInArrow(find, "bucket int, kind int, ids binary, prints binary, counts binary")
+    sent = docs.select("_doc", "_bytes").mapInArrow(find, shared.SCHEMA)
     return sent.groupBy("bucket").applyInArrow(meet, "doc_id bigint, kind int, prints binary")
 
 
@@ -268,10 +239,10 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
 
     def settle(t: pa.Table) -> pa.Table:
         open_, done = (t.filter(pc.equal(t.column("kind"), k)) for k in (0, 1))
-        doc, text, at, n = (_flat(done, c, d) for c, d in _FIELDS if c != "key")
+        doc, text, at, n = (shared.flat(done, c, d) for c, d in _FIELDS if c != "key")
         spans = [(doc, text, at.astype(np.int64), at.astype(np.int64) + n + LENGTH - 1)]
-        doc, text, key, at, n = (_flat(open_, c, d) for c, d in _FIELDS)
-        raw, n = _flat(open_, "bytes", "u1"), n.astype(np.int64)
+        doc, text, key, at, n = (shared.flat(open_, c, d) for c, d in _FIELDS)
+        raw, n = shared.flat(open_, "bytes", "u1"), n.astype(np.int64)
         size = n + LENGTH - 1
         off = np.cumsum(size) - size
         order = multikey_order([key])
@@ -287,8 +258,7 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
         doc, text, start, end = (np.concatenate([s[c] for s in spans]) for c in range(4))
         order = np.lexsort((start, text, doc))
         doc, text, start, end = doc[order], text[order], start[order], end[order]
-        cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (text[1:] != text[:-1])])) if len(doc) else np.zeros(0, np.int64)
-        out = [(int(doc[a]), int(text[a]), _pack(np.stack(merge(start[a:z], end[a:z]), 1), "<i4")) for a, z in zip(cuts, [*cuts[1:], len(doc)], strict=True)]
+        out = [(int(doc[a]), int(text[a]), _pack(np.stack(merge(start[a:z], end[a:z]), 1), "<i4")) for a, z in shared.runs(doc, text)]
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "text_id": pa.array([o[1] for o in out], pa.int64()), "spans": pa.array([o[2] for o in out], pa.binary())})
 
     return docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent).groupBy("bucket").applyInArrow(settle, "doc_id bigint, text_id bigint, spans binary")
@@ -313,16 +283,6 @@ def _settle(doc: np.ndarray, text: np.ndarray, key: np.ndarray, at: np.ndarray,
     return doc[each[x]], text[each[x]], start, start + LENGTH
 
 
-def _flat(t: pa.Table, name: str, dtype: str) -> np.ndarray:
-    """All values of a column of packed numbers, end to end."""
-    if not t.num_rows:
-        return np.zeros(0, dtype)
-    column = pa.concat_arrays(t.column(name).chunks).cast(pa.large_binary())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = column.buffers()[2]
-    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(dtype) if data is not None else np.zeros(0, dtype)
-
-
 def _copies(named: DataFrame) -> DataFrame:
     """(copy_id, copy_text) of texts that equal one of a smaller id by a 128-bit fingerprint. All their strings start there too, so they neither need a search nor cover more than it does."""
     keyed = named.select("_doc", "_text", text_key(F.col("_bytes").cast("string")).alias("k")).select("_doc", "_text", "k.a", "k.b")
