@@ -206,4 +206,4 @@ def drop_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
 
     row = F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`"))
     bad = staged(find_leaks(docs.select(row.alias("_row"), F.col(f"`{text}`").alias("_text")), benchmark, "_text", "_row").select("_row").distinct())
-    return docs.join(bad, row == F.col("_row"), "left_anti")
+    return docs.join(bad, row == bad["_row"], "left_anti")

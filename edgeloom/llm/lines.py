@@ -22,6 +22,9 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     on the fingerprint, which adaptive execution splits where a window is very frequent. Texts move once, to meet
     their removed lines.
     """
+    names = docs.columns
+    docs = docs.toDF(*(f"c{k}" for k in range(len(names))))  # so that no input column meets one of those below
+    text, key = (f"c{names.index(c)}" for c in (text, key))
     w = WINDOW
     id_ = F.struct(F.col(key).alias("k"), text_key(F.col(text)).alias("t")).alias("_id")
     pieces = docs.where(F.col(text).isNotNull()).select(id_, F.split(F.col(text), "\n").alias("_lines")).where(F.size("_lines") >= w)
@@ -39,7 +42,7 @@ def drop_repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id"
     df = df.withColumn("_n_lines", F.when(F.col(text).isNull(), F.lit(0)).otherwise(F.size("_split")).cast("long"))
     df = df.withColumn("_n_removed", F.expr("case when _hits is null then 0 else size(_split) - size(_kept) end").cast("long"))
     df = df.withColumn(text, F.expr(f"case when _hits is null then `{text}` else array_join(transform(_kept, i -> _split[i]), '\\n') end"))
-    return df.select(*(F.col(f"`{c}`") for c in docs.columns), "_n_lines", "_n_removed")
+    return df.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True) if n not in ("_n_lines", "_n_removed")), "_n_lines", "_n_removed")
 
 
 def digest(docs: DataFrame) -> DataFrame:

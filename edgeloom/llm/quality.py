@@ -80,4 +80,4 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
         ok = keep_where(rule_metrics(docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(text)), text), ~F.col("base_failed")).select("_row.*")
     else:
         ok = keep_where(rule_metrics(docs, text), ~F.col("base_failed")).select(*docs.columns)
-    return ok.join(bad.withColumnRenamed("_host", "_bad_host"), ok[host] == F.col("_bad_host"), "left_anti")
+    return ok.join(bad, ok[host] == bad["_host"], "left_anti")
