@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import LongType
 
 
 def mix64(x: np.ndarray, rounds: int = 2) -> np.ndarray:
@@ -15,11 +16,11 @@ def mix64(x: np.ndarray, rounds: int = 2) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def hash64(x: pd.Series) -> pd.Series:
     return pd.Series(mix64(x.to_numpy(np.int64).view(np.uint64)).view(np.int64))
 
 
-@pandas_udf("long")
+@pandas_udf(LongType())
 def hash32(x: pd.Series) -> pd.Series:
     return pd.Series((mix64(x.to_numpy(np.int64).view(np.uint64)) >> np.uint64(32)).astype(np.int64))
