@@ -19,7 +19,7 @@ N_BEST = 4
 UNKNOWN_PENALTY = 10.0
 RANKLESS = -1e8
 #: Distinct segments a Python worker keeps, and the longest that the vectorised pass takes.
-CACHE, SHORT = 800_000, 48
+CACHE, SHORT = 300_000, 48
 #: Characters handled at once.
 GROUP = 2_000_000
 NONE = -1e300
@@ -143,7 +143,7 @@ class Encoder:
         self.raw_len = np.array([len(b) for b in raw], np.int64)
         self.raw_at = np.cumsum(self.raw_len) - self.raw_len
         self.raw = np.frombuffer(b"".join(raw), np.uint8)
-        self.n_best = lru_cache(20_000)(v.n_best)
+        self.n_best = lru_cache(4_000)(v.n_best)
         self.clear()
 
     def clear(self) -> None:
