@@ -127,6 +127,41 @@ def _shared_parts(sketch: DataFrame, buckets: int) -> DataFrame:
     return full.mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "sig bigint, cls bigint")
 
 
+def _supported(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
+    """(cls) of the sets of which enough elements are in another set too; a set with more elements of its own has no partner."""
+    from pyspark import TaskContext
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        names: list[int] = []
+        size = 0
+
+        def out() -> pa.RecordBatch:
+            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
+            return shared.packed(shared.entries(np.concatenate(held), owner, np.array(names, np.int64), buckets, int(TaskContext.get().partitionId())))
+
+        for batch in batches:
+            for m in batch.column(1):
+                held.append(np.frombuffer(m.as_py(), np.uint64))
+                size += 20 * len(held[-1])
+            names += batch.column(0).to_pylist()
+            if size >= FLUSH:
+                yield out()
+                held, names, size = [], [], 0
+        if held:
+            yield out()
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids = shared.meet(t, 1 << 60)[0]
+        cuts = shared.runs(ids)
+        return pa.table({"of": pa.array([int(ids[a]) for a, _ in cuts], pa.int64()), "n": pa.array([z - a for a, z in cuts], pa.int64())})
+
+    found = sets.select("cls", "members").mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "of bigint, n bigint")
+    counts = found.groupBy("of").agg(F.sum("n").alias("n"))
+    both = sets.select("cls", (F.octet_length("members") / 8).alias("size")).join(counts, F.col("cls") == F.col("of"))
+    return both.where(F.col("n") * den >= F.col("size") * num).select("cls")
+
+
 def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) -> DataFrame:
     """(cls, members) of the classes in wanted (id, cls): the set's sorted fingerprints as bytes."""
 
@@ -247,17 +282,26 @@ def _near_classes(docs: DataFrame, text: str, key: str, size: int, num: int, den
     sketch = staged(_sketch(docs, text, key, size, num, den))
     parts = staged(_shared_parts(sketch, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
     release_shuffles(spark)
-    least = parts.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").select(F.col("sig").alias("_sig"), "p")
-    near = staged(parts.join(least, F.col("sig") == F.col("_sig")).where("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
+    least = parts.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").select(F.col("sig").alias("_sig"))
+    several = staged(parts.join(least, F.col("sig") == F.col("_sig"), "left_semi").distinct())
     drop_staged(parts)
     release_shuffles(spark)
     slim = staged(sketch.select("id", "n", "cls"))
     drop_staged(sketch)
     sketch = slim
-    wanted = near.select(F.col("x").alias("c")).unionByName(near.select(F.col("p").alias("c"))).distinct()
+    wanted = several.select(F.col("cls").alias("c")).distinct()
     wanted = staged(sketch.where("cls is not null and id is not null").select("id", "cls").join(wanted, F.col("cls") == F.col("c"), "left_semi").groupBy("cls").agg(F.min("id").alias("id")))
     sets = staged(_sets(docs, text, key, size, wanted))
     release_shuffles(spark)
+    for _ in range(2):  # without the first round's losers others have too little left
+        able = staged(_supported(sets, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), num, den))
+        kept = staged(sets.join(able.withColumnRenamed("cls", "_able"), F.col("cls") == F.col("_able"), "left_semi"))
+        drop_staged(sets)
+        sets = kept
+    several = several.join(able.withColumnRenamed("cls", "_able"), F.col("cls") == F.col("_able"), "left_semi")
+    pivots = several.groupBy("sig").agg(F.min("cls").alias("p")).select(F.col("sig").alias("_sig"), "p")
+    near = staged(several.join(pivots, F.col("sig") == F.col("_sig")).where("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
+    release_shuffles(spark)
 
     done = staged(_measure(near, sets, num, den))
     links = done.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
