@@ -31,8 +31,8 @@ LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
 #: An anchor of more documents than this, or than one document in RARE, is dealt by whole windows. At most RARE times the mean number of anchors of a document are.
 HOT, RARE = 512, 2000
-#: Leading bytes sampled from each task for the splitters, and bytes of output that a task holds before it passes them on.
-SAMPLED, FLUSH = 256, 12_000_000
+#: Leading bytes sampled from each task for the splitters, of how many tasks they are read, and bytes of output that a task holds before it passes them on.
+SAMPLED, SAMPLES, FLUSH = 256, 4096, 12_000_000
 #: Rows that Python gets at once.
 BATCH = 1000
 #: Windows that a bucket works on at once.
@@ -185,7 +185,7 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
             if not held:
                 return
             cols = [np.concatenate([h[k] for h in held]) for k in range(5)]
-            lead, string = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
+            bucket, string = np.concatenate([h[5] for h in held]), np.concatenate([h[6] for h in held])
             raw = np.concatenate([h[8] for h in held])
             base = np.cumsum([0, *(len(h[8]) for h in held[:-1])])
             off = np.concatenate([h[7] + b for h, b in zip(held, base, strict=True)])
@@ -196,7 +196,7 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
             first = np.concatenate([[True], s[1:] != s[:-1]])
             least = d[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
             go, done = order[d == least], order[d != least]
-            rows = list(rows_of(np.searchsorted(splitters, lead[go], side="right"), 0, [c[go] for c in cols], raw, off[go], n_buckets))
+            rows = list(rows_of(bucket[go], 0, [c[go] for c in cols], raw, off[go], n_buckets))
             if len(done):
                 rows.append((mine, 1, [_pack(c[done], t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], b""))
             arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[2][k] for r in rows], pa.binary()) for k in range(5)), pa.array([r[3] for r in rows], pa.binary())]
@@ -223,13 +223,13 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
                 total, down = _prefix(raw), powers(len(raw) + 1)[1]
                 n = last - first + 1
                 string = mix((total[last + LENGTH] - total[first]) * down[first])
-                lead = _lead(raw, place)
+                bucket = np.searchsorted(splitters, _lead(raw, place), side="right")
                 single = np.isin(prints, hot)
-                lead[single] = string[single]
+                bucket[single] = string[single] % np.uint64(n_buckets)
                 key = prints + mix((place - first).astype(np.uint64))  # the anchor, and how far the first window is before it
                 key = np.where(single, mix(key ^ string), prints)
                 doc = names[at + owner].astype(np.int64)
-                held.append((doc, texts[at + owner].astype(np.int64), key, (first - bounds[owner]), n, lead, mix(string + (place - first).astype(np.uint64)), *_cut(raw, first, n + LENGTH - 1)))
+                held.append((doc, texts[at + owner].astype(np.int64), key, (first - bounds[owner]), n, bucket, mix(string + (place - first).astype(np.uint64)), *_cut(raw, first, n + LENGTH - 1)))
                 size += 33 * len(n) + len(held[-1][8])
                 at += len(bounds) - 1
                 if size >= FLUSH:
@@ -328,7 +328,7 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
         found = staged(_shared_anchors(named, buckets, max(HOT, n_docs // RARE)))
     release_shuffles(spark)
     hot = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 2").select("prints").collect())])
-    lead = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 3").select("prints").collect())]))
+    lead = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 3").select("prints").orderBy(F.xxhash64("prints")).limit(SAMPLES).collect())]))
     splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 8 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
     wanted = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list("prints").alias("prints"))
     near = named.join(wanted, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", "_bytes", "prints")
