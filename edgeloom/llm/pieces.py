@@ -20,8 +20,8 @@ UNKNOWN_PENALTY = 10.0
 RANKLESS = -1e8
 #: Distinct segments a Python worker keeps, and the longest that the vectorised pass takes.
 CACHE, SHORT = 300_000, 48
-#: Characters handled at once.
-GROUP = 2_000_000
+#: Segments learned and characters handled at once.
+AT_ONCE, GROUP = 8_192, 1_000_000
 NONE = -1e300
 
 
@@ -157,7 +157,7 @@ class Encoder:
         parts = []
         if short:
             short.sort(key=len, reverse=True)
-            parts.append(self._viterbi(short))
+            parts += [self._viterbi(short[k : k + AT_ONCE]) for k in range(0, len(short), AT_ONCE)]
         if long:
             both = [self._walk(s) for s in long]
             n = np.array([len(b[1]) for b in both], np.int64)
