@@ -71,18 +71,22 @@ class Vocabulary:
         """The n best segmentations as (score, ids), best first.
 
         Forward Viterbi gives the best score up to each place. Partial paths grow from the end backwards; the score so
-        far plus the forward score is exactly what the best completion has, so paths leave the heap in final order. No
-        path is ever dropped. Equal scores keep the order in which the paths were made, the longest last piece first.
+        far plus the forward score is exactly what the best completion has, so paths leave the heap in final order. Of
+        equal ones the nearest to the beginning goes on first, then the earliest made, the longest last piece first. A
+        place that n better paths have left needs no more, so a long run of one character costs n times its length.
         """
         size = len(segment)
         into: list[list[tuple[int, float]]] = [[]] + [list(self.edges_into(segment, e)) for e in range(1, size + 1)]
         best = [0.0] * (size + 1)
         for end in range(1, size + 1):
             best[end] = max(best[start] + s for start, s in into[end])
-        heap: list[tuple[float, int, int, float, tuple | None]] = [(-best[size], 0, size, 0.0, None)]
-        found, made = [], 0
+        heap: list[tuple[float, int, int, float, tuple | None]] = [(-best[size], size, 0, 0.0, None)]
+        found, made, left = [], 0, [0] * (size + 1)
         while heap and len(found) < n:
-            total, _, at, behind, path = heapq.heappop(heap)
+            total, at, _, behind, path = heapq.heappop(heap)
+            if left[at] == n:
+                continue
+            left[at] += 1
             if at == 0:
                 ids: list[int] = []
                 while path:
@@ -92,7 +96,7 @@ class Vocabulary:
                 continue
             for start, s in into[at]:
                 made += 1
-                heapq.heappush(heap, (-(best[start] + s + behind), made, start, behind + s, (start, at, path)))
+                heapq.heappush(heap, (-(best[start] + s + behind), start, made, behind + s, (start, at, path)))
         return found
 
 
