@@ -153,11 +153,21 @@ def _supported(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         ids = shared.meet(t, 1 << 60)[0]
-        cuts = shared.runs(ids)
-        return pa.table({"of": pa.array([int(ids[a]) for a, _ in cuts], pa.int64()), "n": pa.array([z - a for a, z in cuts], pa.int64())})
-
-    found = sets.select("cls", "members").mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "of bigint, n bigint")
-    counts = found.groupBy("of").agg(F.sum("n").alias("n"))
+        of, n = np.unique(ids, return_counts=True)
+        part = of % buckets
+        order = np.argsort(part, kind="stable")
+        of, n, part = of[order], n[order], part[order]
+        cuts = shared.runs(part)
+        return pa.table({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "ids": pa.array([of[a:z].tobytes() for a, z in cuts], pa.binary()), "counts": pa.array([n[a:z].astype("<i8").tobytes() for a, z in cuts], pa.binary())})
+
+    def total(t: pa.Table) -> pa.Table:
+        of, where = np.unique(shared.flat(t, "ids", "<i8"), return_inverse=True)
+        n = np.zeros(len(of), np.int64)
+        np.add.at(n, where, shared.flat(t, "counts", "<i8"))
+        return pa.table({"of": pa.array(of), "n": pa.array(n)})
+
+    found = sets.select("cls", "members").mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "part int, ids binary, counts binary")
+    counts = found.groupBy("part").applyInArrow(total, "of bigint, n bigint")
     both = sets.select("cls", (F.octet_length("members") / 8).alias("size")).join(counts, F.col("cls") == F.col("of"))
     return both.where(F.col("n") * den >= F.col("size") * num).select("cls")
 
