@@ -81,7 +81,7 @@ def _pack(x: np.ndarray, dtype: str) -> bytes:
 
 
 def _shared_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(doc_id, kind, prints): fingerprints that a document shares with others (kind 1), those of very many documents (2), and sampled leading bytes (3)."""
+    """(part, kind, ids, prints): fingerprints that documents share, with their ids (kind 1), those of very many documents (2), and sampled leading bytes (3), packed."""
     from pyspark import TaskContext
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,13 +116,29 @@ def _shared_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
 
     def meet(t: pa.Table) -> pa.Table:
         ids, prints, many = shared.meet(t, hot)
-        rows = [(int(ids[a]), 1, _pack(prints[a:z], "<u8")) for a, z in shared.runs(ids)]
-        rows.append((None, 2, _pack(many, "<u8")))
-        rows.append((None, 3, _pack(shared.flat(t.filter(pc.equal(t.column("kind"), 3)), "prints", "<u8"), "<u8")))
-        return pa.table({"doc_id": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.int32()), "prints": pa.array([r[2] for r in rows], pa.binary())})
+        part = ids % buckets
+        order = np.argsort(part, kind="stable")
+        ids, prints, part = ids[order], prints[order], part[order]
+        rows = [(int(part[a]), 1, _pack(ids[a:z], "<i8"), _pack(prints[a:z], "<u8")) for a, z in shared.runs(part)]
+        rows.append((None, 2, b"", _pack(many, "<u8")))
+        rows.append((None, 3, b"", _pack(shared.flat(t.filter(pc.equal(t.column("kind"), 3)), "prints", "<u8"), "<u8")))
+        return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "ids": pa.array([r[2] for r in rows], pa.binary()), "prints": pa.array([r[3] for r in rows], pa.binary())})
 
     sent = docs.select("_doc", "_bytes").mapInArrow(find, shared.SCHEMA)
-    return sent.groupBy("bucket").applyInArrow(meet, "doc_id bigint, kind int, prints binary")
+    return sent.groupBy("bucket").applyInArrow(meet, "part int, kind int, ids binary, prints binary")
+
+
+def _by_document(found: DataFrame) -> DataFrame:
+    """(doc_id, prints): the packed fingerprints that each document shares, one row a document."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        ids, prints = shared.flat(t, "ids", "<i8"), shared.flat(t, "prints", "<u8")
+        order = np.argsort(ids, kind="stable")
+        ids, prints = ids[order], prints[order]
+        cuts = shared.runs(ids)
+        return pa.table({"doc_id": pa.array([int(ids[a]) for a, _ in cuts], pa.int64()), "prints": pa.array([_pack(prints[a:z], "<u8") for a, z in cuts], pa.binary())})
+
+    return found.where("kind = 1").select("part", "ids", "prints").groupBy("part").applyInArrow(gather, "doc_id bigint, prints binary")
 
 
 def _lead(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -156,7 +172,7 @@ _FIELDS = (("doc", "<i8"), ("text", "<i8"), ("key", "<u8"), ("at", "<i4"), ("n",
 
 
 def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(doc_id, text_id, spans): runs (from, to) of covered bytes. docs: _doc, _text, _bytes, prints (list of packed fingerprints).
+    """(doc_id, text_id, spans): runs (from, to) of covered bytes. docs: _doc, _text, _bytes, prints (packed fingerprints).
 
     A record is a run of n windows that share an anchor: their document, the fingerprint of the anchor, where the first
     begins, and the n + LENGTH - 1 bytes they reach over.
@@ -211,7 +227,7 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
                 cuts = np.searchsorted(owner, np.arange(len(bounds)))
                 for k in range(len(bounds) - 1):
                     if cuts[k + 1] > cuts[k]:
-                        keep[cuts[k] : cuts[k + 1]] = np.isin(prints[cuts[k] : cuts[k + 1]], np.frombuffer(b"".join(wanted[at + k] or ()), "<u8"))
+                        keep[cuts[k] : cuts[k + 1]] = np.isin(prints[cuts[k] : cuts[k + 1]], np.frombuffer(wanted[at + k] or b"", "<u8"))
                 prints, place, first, last, owner = (x[keep] for x in (prints, place, first, last, owner))
                 common = np.isin(prints, hot)
                 if common.any():  # one record a window, dealt by the whole window
@@ -329,8 +345,8 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     release_shuffles(spark)
     hot = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 2").select("prints").collect())])
     lead = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 3").select("prints").orderBy(F.xxhash64("prints")).limit(SAMPLES).collect())]))
-    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 8 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
-    wanted = found.where("kind = 1").groupBy("doc_id").agg(F.collect_list("prints").alias("prints"))
+    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 2 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
+    wanted = _by_document(found)
     near = named.join(wanted, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", "_bytes", "prints")
     with arrow_rows(spark, BATCH):
         spans = staged(_covered(near, splitters, hot))
