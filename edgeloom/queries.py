@@ -469,10 +469,10 @@ def modulated_laplacian(spark, sf):
 _E = "x as (select vec_id, label, unnest(range(1, 65)) as k, embedding from embeddings), y as (select vec_id, label, k, cast(embedding[k] as double) as v from x)"
 
 
-@query(f"with {_E} select vec_id, k, round(v / sqrt(sum(v * v) over (partition by vec_id)), 5) as v from y")
+@query(f"with {_E} select vec_id, k, round(v / sqrt(sum(v * v) over (partition by vec_id)), 5) + 0e0 as v from y")
 def row_l2_normalize(spark, sf):
     e = em.l2_normalize(t(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("vec")))
-    return e.select(F.col("id").alias("vec_id"), F.posexplode("vec").alias("k", "v")).select("vec_id", (F.col("k") + 1).cast("long").alias("k"), F.round("v", 5).alias("v"))
+    return e.select(F.col("id").alias("vec_id"), F.posexplode("vec").alias("k", "v")).select("vec_id", (F.col("k") + 1).cast("long").alias("k"), (F.round("v", 5) + F.lit(0.0)).alias("v"))
 
 
 @query("with s as (select vec_id, unnest(range(1, 11)) as label, embedding from embeddings), r as (select vec_id, label, row_number() over (partition by vec_id order by embedding[label] desc, label desc) as n from s) select vec_id as id, label from r where n <= 1 + vec_id % 3")
