@@ -272,12 +272,22 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
             spans.append(_settle(doc[x], text[x], key[x], at[x].astype(np.int64), n[x], _gather(raw, off[x], size[x])))
             begin = end
         doc, text, start, end = (np.concatenate([s[c] for s in spans]) for c in range(4))
+        part = doc % n_buckets
+        order = np.argsort(part, kind="stable")
+        doc, text, start, end, part = (x[order] for x in (doc, text, start, end, part))
+        cuts = shared.runs(part)
+        packed = [pa.array([_pack(x[a:z], d) for a, z in cuts], pa.binary()) for x, d in ((doc, "<i8"), (text, "<i8"), (start, "<i4"), (end, "<i4"))]
+        return pa.table([pa.array([int(part[a]) for a, _ in cuts], pa.int32()), *packed], names=["part", "doc", "text", "start", "end"])
+
+    def gather(t: pa.Table) -> pa.Table:
+        doc, text, start, end = (shared.flat(t, c, d) for c, d in (("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("end", "<i4")))
         order = np.lexsort((start, text, doc))
         doc, text, start, end = doc[order], text[order], start[order], end[order]
         out = [(int(doc[a]), int(text[a]), _pack(np.stack(merge(start[a:z], end[a:z]), 1), "<i4")) for a, z in shared.runs(doc, text)]
         return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "text_id": pa.array([o[1] for o in out], pa.int64()), "spans": pa.array([o[2] for o in out], pa.binary())})
 
-    return docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent).groupBy("bucket").applyInArrow(settle, "doc_id bigint, text_id bigint, spans binary")
+    found = docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent).groupBy("bucket").applyInArrow(settle, "part int, doc binary, text binary, start binary, end binary")
+    return found.groupBy("part").applyInArrow(gather, "doc_id bigint, text_id bigint, spans binary")
 
 
 def _settle(doc: np.ndarray, text: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
