@@ -506,17 +506,27 @@ def _heads(spark, sf):
 
 @query(f"with {_SUF} select doc_id as id, rank, start from r")
 def suffix_array_heads(spark, sf):
+    """The first 64 characters only, which is what its SQL can do; suffix_array has the whole texts."""
     return strings.suffix_array(_heads(spark, sf))
 
 
+def _texts(spark, sf):
+    return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s"))
+
+
+@query()
+def suffix_array(spark, sf):
+    return strings.suffix_array(_texts(spark, sf))
+
+
 @query()
-def lcp_heads(spark, sf):
-    return strings.lcp_array(_heads(spark, sf))
+def lcp_array(spark, sf):
+    return strings.lcp_array(_texts(spark, sf))
 
 
 @query()
-def suffix_tree_heads(spark, sf):
-    return strings.suffix_tree(_heads(spark, sf))
+def suffix_tree(spark, sf):
+    return strings.suffix_tree(_texts(spark, sf))
 
 
 @query("select doc_id as id, case when strpos(text, 'the') > 0 then strpos(text, 'the') - 1 end as at from documents")

@@ -4,6 +4,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from edgeloom import queries
 from edgeloom.functions import strings
 from edgeloom.operators import graph as g
 from edgeloom.operators import sequence as q
@@ -89,6 +90,30 @@ def test_suffix_structures():
     assert strings.cartesian_parents([3, 1, 2, 1]) == [1, None, 3, 1]
 
 
+def test_suffix_queries_take_whole_texts(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [(1, "é☃" + "".join(rng.choices("ab\n", k=400))), (2, "abc" * 300), (3, "x" * 500), (4, None), (5, ""), (6, "line of text\n" * 40 + "end")]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    array, lcp = [], []
+    for i, text in texts:
+        b = (text or "").encode()
+        order = sorted(range(len(b)), key=lambda k: b[k:])  # noqa: B023
+        array += [(i, rank, start) for rank, start in enumerate(order)]
+        lcp += [(i, rank, shared(b[order[rank - 1] :], b[order[rank] :])) for rank in range(1, len(b))]
+    assert sorted(map(tuple, queries.suffix_array(spark, str(tmp_path)).collect())) == array
+    assert sorted(map(tuple, queries.lcp_array(spark, str(tmp_path)).collect())) == lcp
+    tree = {(r["id"], r["node"]): r for r in queries.suffix_tree(spark, str(tmp_path)).collect()}
+    for i, text in texts:
+        b = (text or "").encode()
+        nodes = {n: r for (j, n), r in tree.items() if j == i}
+        label = lambda n: b[nodes[n]["start"] :][: nodes[n]["depth"]]  # noqa: B023, E731
+        prefixes = {label(n) for n in nodes}
+        branches = {b[k:][:depth] for (j, r, depth), k in zip(lcp, [a[2] for a in array if a[1]], strict=True) if j == i}
+        assert len(prefixes) == len(nodes) and prefixes == {b"", *branches, *(b[k:] for k in range(len(b)))}  # noqa: B023
+        assert all(label(r["parent"]) == max((p for p in prefixes if label(n).startswith(p) and p != label(n)), key=len) for n, r in nodes.items() if n and n % 7 == 0)
+
+
 def test_sampled_matrix_estimates_the_exact_one(spark):
     e = both(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 5), (5, 3)])
     exact = {(r["row"], r["col"]): r["v"] for r in em.walk_matrix(e, 3).collect()}
