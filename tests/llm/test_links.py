@@ -51,3 +51,15 @@ def test_components(spark):
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 102: 100, **{k: 500 for k in range(500, 600)}}
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_long_chains_in_any_order(spark):
+    import random
+
+    shuffled = random.Random(6).sample(range(1000, 1400), 400)
+    backward = [2000, *range(2399, 2000, -1)]
+    edges = [e for path in (shuffled, backward) for e in zip(path, path[1:], strict=False)] + [(3000 + k // 3, 3000 + k) for k in range(1, 300)]
+    found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {**dict.fromkeys(shuffled, 1000), **dict.fromkeys(backward, 2000), **dict.fromkeys(range(3000, 3300), 3000)}
+    words = [(f"n{a}", f"n{b}") for a, b in edges[:399]]
+    assert {r["component"] for r in connected_components(spark.createDataFrame(words, "a string, b string")).collect()} == {"n1000"}
