@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 #: BM25's constants; the least score as a share of what an item scores against itself; postings blocks hold this many parts.
 K1, B, LEAST, BLOCK = 1.2, 0.75, 0.6, 4
-#: An item longer than PART words is indexed as parts of so many; a passage is two strides of PART words, so it holds any part whole.
+#: An item longer than PART words is indexed as parts of nearly equal length, PART / 2 words or more; a passage is two strides of PART words, so it holds any part whole.
 PART, SHINGLE, OVERLAP = 64, 5, 0.8
 #: Items with more characters in all are indexed in several parts, one after the other, each broadcast by itself.
 CHUNK_CHARS = 32_000_000
@@ -44,24 +44,30 @@ def shingles(w: list) -> set[tuple]:
     return {tuple(w[k : k + SHINGLE]) for k in range(max(1, len(w) - SHINGLE + 1))} if w else set()
 
 
+def cut(w: list) -> list[list]:
+    n = -(-len(w) // PART)
+    return [w[k * len(w) // n : (k + 1) * len(w) // n] for k in range(n)]
+
+
 class Index:
     """BM25 postings of the items' parts. Weights are shares of a part's score against itself, so one threshold fits all.
 
     Parts of like length share blocks of BLOCK; each term has, for every block it occurs in, its largest weight there.
+    A part has the words of its whole item's question and answer.
     """
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.parts: list[tuple[int, list[int], set, set, set]] = []
+        found: list[tuple[tuple[int, list[int], set, set, set], int, bool]] = []
         vocabulary: dict[str, int] = {}
         number = lambda ws: [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
-        for item, text in items:
-            w = words(text or "")
-            q, a = (number(x) for x in question_and_answer(text or ""))
-            for k in range(0, len(w), PART):
-                part = number(w[k : k + PART])
-                here = {*part}
-                self.parts.append((item, part, shingles(part), {*q} & here, {*a} & here))
-        self.parts.sort(key=lambda p: (len(p[1]), str(p[0]), p[1]))
+        for row, (item, text) in enumerate(items):
+            q, a = ({*number(x)} for x in question_and_answer(text or ""))
+            parts = [number(w) for w in cut(words(text or ""))]
+            found += [((item, part, shingles(part), q, a), row, len(parts) > 1) for part in parts]
+        found.sort(key=lambda x: (len(x[0][1]), str(x[0][0]), x[0][1]))
+        self.parts = [p for p, _, _ in found]
+        #: The item's row, and whether the item has other parts.
+        self.row_of = [(row, several) for _, row, several in found]
         self.vocabulary = vocabulary
         n, size = len(self.parts), max(1, len(vocabulary))
         df = Counter(t for p in self.parts for t in {*p[1]})
@@ -86,6 +92,8 @@ class Index:
     def search(self, texts: list[str]) -> list[tuple[int, int, float, float, float]]:
         """(text number, part, score, question overlap, answer overlap) of all passages and parts at LEAST or more and verified.
 
+        Question and answer of an item in one part are verified in the passage, those of an item in several parts in
+        all passages of the text that hold one of its parts.
         Block-max WAND for many passages at a time: a passage goes on if the sum of its terms' list maxima reaches the
         threshold, a block of postings is opened if the sum of its block maxima does, and only then are its parts scored.
         """
@@ -117,7 +125,7 @@ class Index:
         on = opened[p * self.n_blocks + part // BLOCK]
         key, where = np.unique(p[on] * len(self.parts) + part[on], return_inverse=True)
         score = np.bincount(where, share[on], len(key)) if len(key) else np.zeros(0)
-        out = []
+        out, joint = [], {}
         owner = np.repeat(np.arange(len(texts)), count)
         for k, s in zip(key[score >= LEAST - 1e-9].tolist(), score[score >= LEAST - 1e-9].tolist(), strict=True):
             at, part_no = divmod(k, len(self.parts))
@@ -128,10 +136,17 @@ class Index:
             seen = {*held}
             size_ = min(SHINGLE, len(self.parts[part_no][1]))
             theirs = {tuple(held[j : j + size_]) for j in range(len(held) - size_ + 1)}
+            if len(own & theirs) >= OVERLAP * len(own):
+                row, several = self.row_of[part_no]
+                hits, all_seen = joint.setdefault((t, row) if several else (t, row, at), ([], set()))
+                hits.append((part_no, s))
+                all_seen |= seen & (q | a)
+        for (t, *_), (hits, seen) in joint.items():
+            _, _, _, q, a = self.parts[hits[0][0]]
             q_share = len(q & seen) / len(q) if q else 1.0
             a_share = len(a & seen) / len(a) if a else 1.0
-            if len(own & theirs) >= OVERLAP * len(own) and q_share >= OVERLAP and a_share >= OVERLAP:
-                out.append((t, part_no, s, q_share, a_share))
+            if q_share >= OVERLAP and a_share >= OVERLAP:
+                out += [(t, part_no, s, q_share, a_share) for part_no, s in hits]
         return out
 
 
@@ -151,8 +166,9 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     """(key, item_id, score, question_overlap, answer_overlap), one row for each document and test item found in it.
 
     Words are lower-cased runs of letters, digits and underscores. All passages of the whole text are searched. A hit
-    needs LEAST of the part's own BM25 score, OVERLAP of its five-word shingles and of its question's and its answer's
-    distinct words in one passage; the best passage is reported. Null texts, and items without words, hit nothing;
+    needs LEAST of the part's own BM25 score and OVERLAP of its five-word shingles in one passage, and OVERLAP of the
+    whole item's question's and its answer's distinct words in that passage or, where the item is longer than PART
+    words, in all such passages together; the best passage's score is reported. Null texts, and items without words, hit nothing;
     repeated documents give equal rows, a null key stays null. An empty benchmark gives no rows.
 
     The index is broadcast: its size is checked, and more than CHUNK_CHARS of items are taken in several rounds, with

@@ -134,6 +134,20 @@ def test_leaks(spark, make):
     assert decontam.find_leaks(make(rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_of_long_items(spark, make):
+    rng = random.Random(8)
+    text = lambda n, v="v": " ".join(f"{v}{rng.randrange(2000)}" for _ in range(n))
+    items = [(1, f"{text(63)}.\nthe the"), (2, text(64) + " the"), (3, f"{text(190, 'q')}.\n{text(30, 'a')}"), (4, text(129))]
+    whole = items[2][1].split()
+    rows = [(k, f"{text(100)} the {text(100)} the") for k in range(10)] + [(20 + k, f"{text(k)} {i[1]} {text(70)}") for k, i in enumerate(items)]
+    rows += [(30, " ".join(whole[:190])), (31, " ".join(whole[190:])), (32, " ".join(whole[-55:])), (33, " ".join(whole[:110]) + " " + text(300) + " " + " ".join(whole[110:])), (34, " ".join(whole[:64]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    found = decontam.find_leaks(make(rows), bench).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(20, 1), (21, 2), (22, 3), (23, 4), (33, 3)]
+    assert {r["answer_overlap"] for r in found} == {1.0} and all(r["question_overlap"] == 1.0 for r in found if r["doc_id"] < 30)
+    assert [len(p) for p in decontam.cut([0] * 65)] == [32, 33] and decontam.cut([]) == []
+
+
 def test_pruning_loses_no_hit():
     rng = random.Random(5)
     text = lambda n: " ".join(f"v{min(rng.randrange(80), rng.randrange(80))}" for _ in range(n))
