@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,15 +54,49 @@ def alias_key(url: str) -> Column:
     return F.when(F.col(url).contains("://"), key)
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value written into the plan once, however often f mentions it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, with or without quotes; '' if there is none."""
+    p = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)|'([^']*)|([^\s\"'>][^\s>]*))"
+    return F.trim(F.concat(*(F.regexp_extract(tag, p, k) for k in (1, 2, 3))))
+
+
+def _refreshed(content: Column) -> Column:
+    """The URL in the content of a refresh, with or without 'url=' and quotes; '' if there is none."""
+    p = r"(?is)^\s*(?:[\d.]+\s*[;,\s]\s*(?:url\s*=\s*)?+|[;,\s]*url\s*=\s*)(?:\"([^\"]*)|'([^']*)|([^\"'].*))"
+    return F.trim(F.concat(*(F.regexp_extract(content, p, k) for k in (1, 2, 3))))
+
+
+def _resolve(target: Column, base: Column) -> Column:
+    """The target as a whole URL; null for none, other schemes, mere fragments and relative ones without a base."""
+    site, whole = F.regexp_extract(base, r"^.*?://[^/?#]*", 0), F.regexp_extract(base, r"^.*?://[^?#]*", 0)
+    folder = F.when(site == whole, F.concat(site, F.lit("/"))).otherwise(F.regexp_extract(whole, r"^.*/", 0))
+    relative = F.when(target.startswith("//"), F.concat(F.regexp_extract(base, r"^(.*?:)//", 1), target)).when(target.startswith("/"), F.concat(site, target)).when(target.startswith("?"), F.concat(whole, target)).otherwise(F.concat(folder, target))
+    named = F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+    return F.when(target.rlike(r"^(?:$|#)|^[A-Za-z][A-Za-z0-9+.\-]*:"), named).when(site != "", _let(relative, _without_dots))
+
+
+def _without_dots(url: Column) -> Column:
+    """The URL without '.' and '..' as parts of its path."""
+    site, path, rest = (F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)([^?#]*)(.*)$", k) for k in (1, 2, 3))
+    parts = F.split(F.regexp_replace(F.substring(path, 2, 1 << 30), r"(^|/)(\.\.?)$", "$1$2/"), "/")
+    up = lambda got, x: F.when(x == "..", F.slice(got, F.lit(1), F.greatest(F.size(got) - 1, F.lit(0)))).when(x == ".", got).otherwise(F.concat(got, F.array(x)))
+    return F.when(path.rlike(r"/\.\.?(?:/|$)"), F.concat(site, F.lit("/"), F.array_join(F.aggregate(parts, F.expr("cast(array() as array<string>)"), up), "/"), rest)).otherwise(url)
+
+
 def link_targets(html: str, url: str) -> Column:
-    """URLs that a page names as its canonical form or refreshes to; a path is taken on the page's own host."""
-    canonical = rf"(?i)<link[^>]{{0,300}}rel=[\"']?canonical[\"']?[^>]{{0,300}}href=[\"']?([^\"'>\s]+)"
-    turned = rf"(?i)<link[^>]{{0,300}}href=[\"']?([^\"'>\s]+)[\"']?[^>]{{0,300}}rel=[\"']?canonical"
-    refresh = rf"(?i)<meta[^>]{{0,300}}http-equiv=[\"']?refresh[\"']?[^>]{{0,300}}url=([^\"'>\s]+)"
-    h, site = F.col(html), F.regexp_extract(F.col(url), r"^.*?://[^/?#]*", 0)
-    found = [F.when(h.contains(word), F.regexp_extract(h, p, 1)) for word, p in (("canonical", canonical), ("canonical", turned), ("refresh", refresh))]
-    whole = [F.when(f.startswith("/"), F.concat(site, f)).when(f.contains("://"), f) for f in found]
-    return F.array_distinct(F.array_compact(F.array(*whole)))
+    """URLs that a page names as its canonical form or refreshes to, in any letter case; relative ones as its base or its own URL has them."""
+    tags = F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"(?i)<(?:link|meta|base)(?=[\s/])[^>]*"), F.lit(0))
+    canonical = lambda tag: tag.rlike("(?i)^<link") & _attribute(tag, "rel").rlike(r"(?i)(?:^|\s)canonical(?:\s|$)")
+    refresh = lambda tag: tag.rlike("(?i)^<meta") & (F.lower(_attribute(tag, "http-equiv")) == "refresh")
+    found = F.transform(F.filter(tags, lambda tag: canonical(tag) | refresh(tag)), lambda tag: F.when(tag.rlike("(?i)^<link"), _attribute(tag, "href")).otherwise(_refreshed(_attribute(tag, "content"))))
+    bases = F.filter(F.transform(F.filter(tags, lambda tag: tag.rlike("(?i)^<base")), lambda tag: _resolve(_attribute(tag, "href"), F.col(url))), lambda x: x.isNotNull())
+    whole = F.transform(found, lambda target: _let(F.coalesce(F.get(bases, F.lit(0)), F.col(url)), lambda own: _resolve(target, own)))
+    return F.array_distinct(F.array_compact(whole))
 
 
 def judge_pages(pages: DataFrame, redirects: DataFrame | None = None, rules: Sequence[tuple[str, str]] = RULES, key: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from edgeloom.llm import revisits, urls
 from edgeloom.llm.components import connected_components
 
@@ -46,6 +48,24 @@ def test_verdicts_and_aliases(spark):
     assert {r["verdict"] for r in urls.judge_pages(df, moved).where("page_id = 14").collect()} == {"block"}
 
 
+def test_links_however_written(spark):
+    far = ' data-x="' + "y" * 1000 + '"'
+    pages = [
+        ('<META HTTP-EQUIV="Refresh" CONTENT="0; URL=http://x.net/es/1">', ["http://x.net/es/1"]), ('<LINK REL="CANONICAL" HREF="http://x.net/es/2">', ["http://x.net/es/2"]),
+        (f'<link{far} rel="canonical"{far} href="http://x.net/es/3"{far}>', ["http://x.net/es/3"]), (f"<link href='/p'{far} rel='nofollow canonical'>", ["http://h.org/p"]), (f'<meta{far} content="5;url=q"{far} http-equiv=refresh>', ["http://h.org/a/q"]),
+        ('<link rel="canonical" href="b.html">', ["http://h.org/a/b.html"]), ('<link rel=canonical href="../up/./c?d=../e">', ["http://h.org/up/c?d=../e"]), ('<link rel=canonical href="//x.net/es/4">', ["http://x.net/es/4"]), ('<link rel=canonical href="?z=1">', ["http://h.org/a/i?z=1"]),
+        ("""<meta http-equiv="refresh" content="0;url='http://x.net/es/5'">""", ["http://x.net/es/5"]), ("""<meta http-equiv='refresh' content='0; url="r"'>""", ["http://h.org/a/r"]), ('<meta http-equiv="refresh" content="3; http://x.net/es/6">', ["http://x.net/es/6"]),
+        ('<base href="/root/"><link rel="canonical" href="f">', ["http://h.org/root/f"]), ('<link rel="canonical" href="u1"><link rel="canonical" href="u2">', ["http://h.org/a/u1", "http://h.org/a/u2"]), ('<link rel="canonical" href="login?to=http://x.net/es/">', ["http://h.org/a/login?to=http://x.net/es/"]),
+        ('<meta http-equiv="refresh" content="30"><meta http-equiv="refresh" content="0;url="><link rel="canonical" href="#top"><link rel="canonical" href="mailto:a@b.c"><link rel="stylesheet" href="canonical.css"><link rel=canonical>', []), (None, []), ("", []),
+    ]
+    df = spark.createDataFrame([(k, "http://h.org/a/i?j=1#k", h) for k, (h, _) in enumerate(pages)], "page_id long, url string, html string")
+    found = {r["page_id"]: r["to"] for r in df.select("page_id", urls.link_targets("html", "url").alias("to")).collect()}
+    assert found == {k: to for k, (_, to) in enumerate(pages)}
+    assert {r["page_id"] for r in urls.judge_pages(df.withColumn("url", F.concat(F.lit("http://n"), "page_id", F.lit(".org/")))).where("verdict = 'block'").collect()} == {0, 1, 2, 7, 9, 11}
+    bare = spark.createDataFrame([("http://h.org", '<link rel="canonical" href="x">'), (None, '<link rel="canonical" href="x">'), ("no url", '<link rel="canonical" href="/x">')], "url string, html string")
+    assert [r[0] for r in bare.select(urls.link_targets("html", "url")).collect()] == [["http://h.org/x"], [], []]
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 101), (101, 102), (102, 100), (7, 7), (None, 3), (100, 101)] + [(500, k) for k in range(501, 600)]
     found = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
