@@ -17,7 +17,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
@@ -365,7 +365,20 @@ def _blocks(rows: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """The rows of docs that are the least of their component; rows that repeat the least one's id and rows without an id stay."""
-    classes = near_classes(docs, text, key, size, num, den)
-    gone = staged(classes.where("id is not null and id <> component").select(F.col("id").alias("_gone")).distinct())
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    """Of each component one row stays: that of the least id, then of the least fingerprint, then of the least other columns. A row is known by its id and text, so one that is in no component of others stays whatever shares its id; rows without an id or without words stay."""
+    held_id, held_text = F.col(f"`{key}`"), F.col(f"`{text}`")
+    row = F.when(held_id.isNotNull(), F.xxhash64(held_id, held_text))
+    classes = near_classes(docs.select(row.alias("_row"), held_text.alias("_text")), "_text", "_row", size, num, den)
+    sets = classes.where("id is not null and n > 0").groupBy("id").agg(F.min("component").alias("component"), F.count(F.lit(1)).alias("copies"))
+    ids = docs.select(row.alias("_row"), held_id.alias("_id")).where("_row is not null").distinct()
+    rows = staged(sets.join(ids, F.col("id") == F.col("_row")).select("component", "copies", F.struct("_id", "_row").alias("at")))
+    least = rows.groupBy(F.col("component").alias("_c")).agg(F.min("at").alias("least"), F.max("at").alias("most")).where("least <> most")
+    gone = staged(rows.join(least, (F.col("component") == F.col("_c")) & (F.col("at") != F.col("least")), "left_semi").select(F.col("at._row").alias("_gone")).distinct())
+    twice = staged(rows.where("copies > 1").select(F.col("at._row").alias("_twice")).distinct())
+    drop_staged(rows)
+    kept = docs.join(gone, row == F.col("_gone"), "left_anti")
+    if not twice.limit(1).count():
+        return kept
+    number = F.row_number().over(Window.partitionBy(row).orderBy(F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns)))))
+    one = kept.join(twice, row == F.col("_twice"), "left_semi").withColumn("_number", number).where("_number = 1").drop("_number")
+    return kept.join(twice, row == F.col("_twice"), "left_anti").unionByName(one)

@@ -76,6 +76,16 @@ def test_one_of_each_group_stays(make):
     assert sorted(r["doc_id"] for r in left.collect()) == want and left.columns == make(rows).columns
 
 
+def test_rows_that_share_an_id_are_kept_apart(make):
+    text = " ".join(f"k{k}" for k in range(60))
+    near, alone = text + " more", " ".join(f"z{k}" for k in range(40))
+    rows = [(1, text), (1, text), (2, near), (2, alone), (3, near), (None, text), (None, text), (5, None), (5, None), (6, alone + " end"), (1, near)]
+    left = jaccard.keep_one(make(rows))
+    first = min((1, text), (1, near), key=lambda r: [x["h"] for x in make([r]).selectExpr("xxhash64(doc_id, text) as h").collect()])
+    want = [first, (2, alone), (None, text), (None, text), (5, None), (5, None)]
+    assert sorted(map(str, ((r["doc_id"], r["text"]) for r in left.collect()))) == sorted(map(str, want)) and left.columns == make(rows).columns
+
+
 def slow_bytes(rows):
     out, seen = [], {}
     for i, t in rows:
