@@ -56,7 +56,8 @@ class Index:
     A part has the words of its whole item's question and answer.
     """
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], all_items: tuple[int, int, dict[str, int]] | None = None):
+        """all_items: parts, words and, for each word of items, parts that hold it, over a benchmark that items are some of; else over items."""
         found: list[tuple[tuple[int, list[int], set, set, set], int, bool]] = []
         vocabulary: dict[str, int] = {}
         number = lambda ws: [vocabulary.setdefault(w, len(vocabulary)) for w in ws]
@@ -71,14 +72,18 @@ class Index:
         self.vocabulary = vocabulary
         n, size = len(self.parts), max(1, len(vocabulary))
         df = Counter(t for p in self.parts for t in {*p[1]})
-        mean = sum(len(p[1]) for p in self.parts) / max(1, n)
+        total = sum(len(p[1]) for p in self.parts)
+        if all_items:
+            n, total, held = all_items
+            df = {vocabulary[w]: c for w, c in held.items() if w in vocabulary}
+        mean = total / max(1, n)
         postings: list[list[tuple[int, float]]] = [[] for _ in range(size)]
         for k, (_, part, *_) in enumerate(self.parts):
             got = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (K1 + 1) / (c + K1 * (1 - B + B * len(part) / mean)) for t, c in Counter(part).items()}
             total = sum(got.values())
             for t, x in got.items():
                 postings[t].append((k, x / total))
-        self.n_blocks = -(-n // BLOCK)
+        self.n_blocks = -(-len(self.parts) // BLOCK)
         self.post = _csr(postings)
         tops = []
         for p in postings:
@@ -162,6 +167,24 @@ def _expand(csr: tuple, passage: np.ndarray, term: np.ndarray) -> tuple[np.ndarr
     return np.repeat(passage, n), what[k], weight[k]
 
 
+def _statistics(items: DataFrame) -> DataFrame:
+    """(round, word, parts, words) of items (round, text): parts with the word; all parts and words where word is null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: Counter = Counter()
+            size: Counter = Counter()
+            for r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for part in cut(words(text or "")):
+                    held.update((r, w) for w in {*part})
+                    held[r, None] += 1
+                    size[r, None] += len(part)
+            cols = ([r for r, _ in held], [w for _, w in held], [*held.values()], [size[k] for k in held])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["round", "word", "parts", "words"])
+
+    return items.mapInArrow(run, "round long, word string, parts long, words long").groupBy("round", "word").agg(F.sum("parts").alias("parts"), F.sum("words").alias("words"))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(key, item_id, score, question_overlap, answer_overlap), one row for each document and test item found in it.
 
@@ -172,8 +195,10 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     repeated documents give equal rows, a null key stays null. An empty benchmark gives no rows.
 
     The index is broadcast: its size is checked, and more than CHUNK_CHARS of items are taken in several rounds, with
-    BM25 statistics of each round's own items. Nothing is shuffled but the hits.
+    BM25 statistics of all items, of which a round gets those of its own words. Nothing is shuffled but the hits and,
+    where there are several rounds, the statistics.
     """
+    from .common import staged
     from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
     spark = docs.sparkSession
@@ -181,10 +206,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: s
     schema = StructType([StructField(key, ids.dataType), StructField("item_id", LongType()), StructField("score", DoubleType()), StructField("question_overlap", DoubleType()), StructField("answer_overlap", DoubleType())])
     chars = benchmark.agg(F.sum(F.length(item_text))).first()[0] or 0
     rounds = max(1, -(-chars // CHUNK_CHARS))
-    hits = None
+    hits = every = None
+    dealt = benchmark.select(F.pmod(F.xxhash64(item, item_text), F.lit(rounds)).alias("round"), F.col(item).cast("long").alias("item"), F.col(item_text).alias("text")).distinct()
+    if rounds > 1:
+        counts = staged(_statistics(dealt.select("round", "text")))
+        n, size = counts.where("word is null").agg(F.sum("parts"), F.sum("words")).first()
+        counts = counts.where("word is not null")
+        held = staged(counts.groupBy("word").agg(F.sum("parts").alias("parts")))
     for r in range(rounds):
-        items = benchmark.where(F.pmod(F.xxhash64(item, item_text), F.lit(rounds)) == r).select(F.col(item).cast("long"), item_text).distinct().collect()
-        index = spark.sparkContext.broadcast(Index([(x[0], x[1]) for x in items]))
+        items = dealt.where(F.col("round") == r).select("item", "text").collect()
+        if rounds > 1:
+            own = held.join(counts.where(F.col("round") == r).select("word"), "word", "left_semi")
+            every = (n or 0, size or 0, {x["word"]: x["parts"] for x in own.collect()})
+        index = spark.sparkContext.broadcast(Index([(x[0], x[1]) for x in items], every))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             found = index.value

@@ -158,6 +158,20 @@ def test_leaks_of_long_items(spark, make):
     assert [len(p) for p in decontam.cut([0] * 65)] == [32, 33] and decontam.cut([]) == []
 
 
+def test_rounds_do_not_change_scores(spark, make, monkeypatch):
+    rng = random.Random(9)
+    text = lambda n: " ".join(f"v{min(rng.randrange(90), rng.randrange(90))}" for _ in range(n))
+    items = [(k, text(rng.choice([8, 20, 50, 90, 150]))) for k in range(40)] + [(90, None), (91, "")]
+    def edited(t):
+        return " ".join("other" if rng.random() < 0.03 else w for w in t.split())
+    rows = [(k, f"{text(50)} {edited(t)} {text(50)}") for k, t in items[:40]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    look = lambda: sorted((r[0], r[1], *(round(x, 9) for x in tuple(r)[2:])) for r in decontam.find_leaks(make(rows), bench).collect())
+    one = look()
+    monkeypatch.setattr(decontam, "CHUNK_CHARS", 1500)
+    assert len(one) > 10 and look() == one
+
+
 def test_pruning_loses_no_hit():
     rng = random.Random(5)
     text = lambda n: " ".join(f"v{min(rng.randrange(80), rng.randrange(80))}" for _ in range(n))
