@@ -364,6 +364,14 @@ def range_min(spark, sf):
     return q.range_min(amounts(spark, sf), w, 64)
 
 
+@query(f"with {SEQ}, n as (select count(*) as n from s), w as (select k as q, k * n // 80 as i, n - 1 - k * n // 80 as j from range(0, 40) x(k), n) select q, arg_min(idx, (v, idx)) as idx from w join s on idx between i and j group by 1")
+def range_min_whole(spark, sf):
+    """Windows over the whole sequence, the first of all of it."""
+    a = amounts(spark, sf)
+    n, k = F.lit(a.count()), F.col("id")
+    return q.range_min(a, spark.range(40).select(k.alias("q"), F.floor(k * n / 80).alias("i"), (n - 1 - F.floor(k * n / 80)).alias("j")), 64)
+
+
 @query(f"with {SEQ} select v from s order by v limit 1 offset 700")
 def kth_smallest(spark, sf):
     return q.kth_smallest(amounts(spark, sf), 700)
