@@ -1,14 +1,17 @@
 """Suffix-array dedup on bytes: every LENGTH-byte string that also starts in a document with a smaller id is covered and goes.
 
-A suffix array of all suffixes would move LENGTH bytes for each byte of text. This one keeps the suffixes that start at
+A suffix array of all suffixes would move LENGTH bytes for each byte of text. This keeps the suffixes that start at
 an anchor: the least GRAM-byte fingerprint of a window. Every window of LENGTH bytes holds one, equal windows hold it at
 the same place, so equal windows meet wherever their anchors' suffixes do. Three passes over the text:
 
 1. fingerprints of all anchors, one of each a task, find the anchors that more than one document has;
 2. the suffixes at those anchors, with the bytes before them that their windows reach back to, are range-partitioned by
-   their leading bytes with sampled splitters; each bucket sorts them by multikey quicksort and finds, for every window,
-   the least document that has it. Splitters are whole leading tokens, so equal suffixes never lie across a boundary;
-   an anchor of very many documents would fill one bucket, so its windows are dealt by their whole strings instead;
+   their leading bytes with sampled splitters; each bucket groups their windows by the anchor's and the window's 64-bit
+   fingerprints (multikey order on those two words) and finds, for every window, the least document that has it.
+   Suffixes are not ordered by their bytes within a bucket: only equality of windows of one length matters here, and
+   fingerprints of all windows come from prefix sums. Splitters are whole leading tokens, so equal suffixes never lie
+   across a boundary; an anchor of very many documents would fill one bucket, so its windows are dealt by their whole
+   strings' fingerprints instead, past the splitters;
 3. covered windows merge into spans and are cut out.
 """
 
