@@ -1,18 +1,20 @@
 """Suffix-array dedup on bytes: every LENGTH-byte string that also starts in a document with a smaller id is covered and goes.
 
-A suffix array of all suffixes would move LENGTH bytes for each byte of text. This keeps the suffixes that start at
-an anchor: the least GRAM-byte fingerprint of a window. Every window of LENGTH bytes holds one, equal windows hold it at
-the same place, so equal windows meet wherever their anchors' suffixes do. Three passes over the text:
+A suffix array of all suffixes would move LENGTH bytes for each byte of text. This moves the suffixes that start at an
+anchor: the least GRAM-byte fingerprint of a window. Every window of LENGTH bytes holds one, equal windows hold it at
+the same place, so equal windows meet wherever their anchors' suffixes do. Four passes:
 
 1. fingerprints of all anchors, one of each a task, find the anchors that more than one document has;
 2. the suffixes at those anchors, with the bytes before them that their windows reach back to, are range-partitioned by
-   their leading bytes with sampled splitters; each bucket groups their windows by the anchor's and the window's 64-bit
-   fingerprints (multikey order on those two words) and finds, for every window, the least document that has it.
-   Suffixes are not ordered by their bytes within a bucket: only equality of windows of one length matters here, and
-   fingerprints of all windows come from prefix sums. Splitters are whole leading tokens, so equal suffixes never lie
-   across a boundary; an anchor of very many documents would fill one bucket, so its windows are dealt by their whole
-   strings' fingerprints instead, past the splitters;
-3. covered windows merge into spans and are cut out.
+   their leading bytes with sampled splitters. A bucket orders them by multikey quicksort: first the anchors' suffixes
+   by the GRAM bytes that all windows at an anchor share, then, a run of equal ones at a time, the suffixes at all
+   places of their windows by LENGTH bytes, eight or five at a time and only where those before tie. Neighbours with
+   LENGTH bytes in common form groups, and all but the least document of a group are covered;
+3. an anchor of very many documents would fill one bucket. Its windows go one by one, as suffixes of their own, to
+   ranges between sampled windows; a window that is itself a splitter, of one range or several, is dealt over all ranges
+   it borders on. Such groups are compared across the boundaries: each bucket gives its least document, and the least of
+   all covers the others;
+4. covered windows merge into spans and are cut out.
 """
 
 from __future__ import annotations
@@ -27,19 +29,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
-from .common import arrow_rows, drop_staged, release_shuffles, staged, text_key
+from .common import arrow_rows, drop_staged, staged, text_key
+from .shared import squeeze, unsqueeze
 from .shingles import _TABLE, byte_groups, mix, powers
 
 LENGTH, GRAM = 50, 24
 WINDOW = LENGTH - GRAM + 1
-#: An anchor of more documents than this, or than one document in RARE, is dealt by whole windows. At most RARE times the mean number of anchors of a document are.
-HOT, RARE = 512, 2000
-#: Leading bytes sampled from each task for the splitters, of how many tasks they are read, and bytes of output that a task holds before it passes them on.
-SAMPLED, SAMPLES, FLUSH = 256, 4096, 12_000_000
-#: Rows that Python gets at once.
-BATCH = 1000
-#: Windows that a bucket works on at once.
+#: An anchor of more documents than this is dealt by its windows; if such anchors are more than LISTED, those of the most documents are, by powers of two.
+HOT, LISTED = 512, 2_000_000
+#: Suffixes sampled from each portion of a task for the splitters, of how many portions they are read, and bytes of output that a task holds before it passes them on.
+SAMPLED, SAMPLES, FLUSH = 128, 2048, 12_000_000
+#: Rows that Python gets at once, bytes of text to a bucket.
+BATCH, BUCKET = 1000, 64_000_000
+#: Windows that a bucket orders at once.
 WINDOWS = 400_000
+#: Where the eight-byte words begin that make up a window's bytes; the last two overlap.
+WORDS = (0, 8, 16, 24, 32, 40, 42)
 
 
 def _prefix(raw: np.ndarray) -> np.ndarray:
@@ -79,52 +84,119 @@ def anchors(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return h[at[new]], at[new], window[new], window[last]
 
 
+def words_at(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as numbers in the order of the bytes, as a view."""
+    held = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray((len(raw) + 1,), ">u8", held, 0, (1,))
+
+
+def suffix_order(raw: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes at begin by their first length bytes (eight at least), and which differ in these from the one before.
+
+    Multikey: by the first eight bytes, then five at a time, and always only the suffixes that tie so far. The next
+    bytes and the run of ties are one number, so each pass is one sort of numbers.
+    """
+    word = words_at(raw)
+    key = word[begin].astype(np.uint64)
+    order = np.argsort(key)
+    key = key[order]
+    new = np.ones(len(order), bool)
+    new[1:] = key[1:] != key[:-1]
+    depth = 8
+    while depth < length:
+        tied = ~new
+        tied[:-1] |= tied[1:]
+        at = np.flatnonzero(tied)
+        if not len(at):
+            break
+        depth = min(depth, length - 5)
+        part = order[at]
+        run = np.cumsum(new[at]).astype(np.uint64)
+        key = (run << np.uint64(40)) | (word[begin[part] + depth].astype(np.uint64) >> np.uint64(24))
+        by = np.argsort(key)
+        order[at], key = part[by], key[by]
+        new[at[1:]] = key[1:] != key[:-1]
+        depth += 5
+    return order, new
+
+
+def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
+    """The order of rows of numbers: by the first column, and only where it ties by the next."""
+    order = np.argsort(keys[0], kind="stable")
+    tied = keys[0][order]
+    same = np.concatenate([[False], tied[1:] == tied[:-1]]) if len(tied) else np.zeros(0, bool)
+    for column in keys[1:]:
+        if not same.any():
+            break
+        run = np.cumsum(~same)
+        loose = same.copy()
+        loose[:-1] |= same[1:]
+        at = np.flatnonzero(loose)
+        part = order[at]
+        order[at] = part[np.lexsort((column[part], run[at]))]
+        w = column[order]
+        same = same & np.concatenate([[False], w[1:] == w[:-1]])
+    return order
+
+
 def _pack(x: np.ndarray, dtype: str) -> bytes:
     return np.ascontiguousarray(x, dtype).tobytes()
 
 
-def _shared_anchors(docs: DataFrame, buckets: int, hot: int) -> DataFrame:
-    """(part, kind, ids, prints): fingerprints that documents share, with their ids (kind 1), those of very many documents (2), and sampled leading bytes (3), packed."""
+def _whole(raw: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The LENGTH bytes at each place as numpy strings, which compare like the suffixes."""
+    word = words_at(raw)
+    return np.stack([word[begin + k] for k in WORDS], 1).astype(">u8").view(f"S{8 * len(WORDS)}").ravel()
+
+
+def _shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
+    """(part, kind, ids, prints): fingerprints that documents share, with their ids (kind 1); those of more than HOT documents, part being the power of two below their number (2); sampled fingerprints, places of their anchors in a window and windows (3)."""
     from pyspark import TaskContext
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         ids: list[int] = []
-        size, lead = 0, np.zeros(0, np.uint64)
+        size, samples = 0, []
 
         def out() -> Iterator[pa.RecordBatch]:
             if not held:
                 return
             prints, owner = (np.concatenate(x) for x in zip(*held, strict=True))
-            rows = shared.entries(prints, owner, np.array(ids, np.int64), buckets, int(TaskContext.get().partitionId()))
-            if len(lead):
-                rows.append((int(TaskContext.get().partitionId()) % buckets, 3, np.zeros(0, np.int64), lead, np.zeros(0, np.int64)))
+            task = int(TaskContext.get().partitionId())
+            rows = shared.entries(prints, owner, np.array(ids, np.int64), buckets, task)
+            if samples:
+                drawn = np.concatenate(samples)
+                drawn = drawn[:: 1 + len(drawn) // SAMPLED]
+                rows.append((task % buckets, 3, np.zeros(0, np.int64), drawn.ravel(), np.zeros(0, np.int64)))
             yield shared.packed(rows)
 
         for batch in batches:
             names, at = batch.column(0).to_pylist(), 0
             for raw, bounds in byte_groups(batch.column(1)):
-                prints, place, _, _ = anchors(raw, bounds)
+                prints, place, first, _ = anchors(raw, bounds)
                 owner = np.searchsorted(bounds, place, side="right") - 1
                 held.append((prints, owner + len(ids)))
                 ids += names[at : at + len(bounds) - 1]
                 at += len(bounds) - 1
                 size += 12 * len(prints)
-                if len(place) and len(lead) < SAMPLED:
-                    lead = np.concatenate([lead, _lead(raw, place[:: max(1, len(place) // 64)])])[:SAMPLED]
+                if len(place):
+                    x = np.arange(0, len(place), max(1, len(place) // 32))
+                    word = words_at(raw)
+                    samples.append(np.stack([prints[x], (place - first)[x].astype(np.uint64), *(word[first[x] + k].astype(np.uint64) for k in WORDS)], 1))
                 if size >= FLUSH:
                     yield from out()
-                    held, ids, size, lead = [], [], 0, np.zeros(0, np.uint64)
+                    held, ids, size, samples = [], [], 0, []
         yield from out()
 
     def meet(t: pa.Table) -> pa.Table:
-        ids, prints, many = shared.meet(t, hot)
+        ids, prints, many, n = shared.meet(t)
         part = ids % buckets
         order = np.argsort(part, kind="stable")
         ids, prints, part = ids[order], prints[order], part[order]
-        rows = [(int(part[a]), 1, _pack(ids[a:z], "<i8"), _pack(prints[a:z], "<u8")) for a, z in shared.runs(part)]
-        rows.append((None, 2, b"", _pack(many, "<u8")))
-        rows.append((None, 3, b"", _pack(shared.flat(t.filter(pc.equal(t.column("kind"), 3)), "prints", "<u8"), "<u8")))
+        rows = [(int(part[a]), 1, squeeze(ids[a:z], "<i8"), squeeze(prints[a:z], "<u8")) for a, z in shared.runs(part)]
+        level = np.log2(n).astype(np.int64)
+        rows += [(int(k), 2, b"", _pack(many[(level == k) & (n > HOT)], "<u8")) for k in np.unique(level[n > HOT])]
+        rows += [(None, 3, b"", _pack(shared.flat(t.filter(pc.equal(t.column("kind"), 3)), "prints", "<u8"), "<u8"))]
         return pa.table({"part": pa.array([r[0] for r in rows], pa.int32()), "kind": pa.array([r[1] for r in rows], pa.int32()), "ids": pa.array([r[2] for r in rows], pa.binary()), "prints": pa.array([r[3] for r in rows], pa.binary())})
 
     sent = docs.select("_doc", "_bytes").mapInArrow(find, shared.SCHEMA)
@@ -136,63 +208,57 @@ def _by_document(found: DataFrame) -> DataFrame:
 
     def gather(t: pa.Table) -> pa.Table:
         ids, prints = shared.flat(t, "ids", "<i8"), shared.flat(t, "prints", "<u8")
-        order = np.argsort(ids, kind="stable")
+        order = np.lexsort((prints, ids))
         ids, prints = ids[order], prints[order]
         cuts = shared.runs(ids)
-        return pa.table({"doc_id": pa.array([int(ids[a]) for a, _ in cuts], pa.int64()), "prints": pa.array([_pack(prints[a:z], "<u8") for a, z in cuts], pa.binary())})
+        return pa.table({"doc_id": pa.array([int(ids[a]) for a, _ in cuts], pa.int64()), "prints": pa.array([squeeze(prints[a:z], "<u8") for a, z in cuts], pa.binary())})
 
     return found.where("kind = 1").select("part", "ids", "prints").groupBy("part").applyInArrow(gather, "doc_id bigint, prints binary")
 
 
-def _lead(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The first eight bytes of the suffixes at place, as numbers in the order of the bytes."""
-    out = np.zeros(len(place), np.uint64)
-    for k in range(8):
-        out = (out << np.uint64(8)) | raw[np.minimum(place + k, len(raw) - 1)]
-    return out
+def _hot(found: DataFrame) -> np.ndarray:
+    """The fingerprints whose windows are dealt one by one, at most LISTED."""
+    rows = found.where("kind = 2").groupBy("part").agg(F.sum(F.octet_length("prints") / 8).alias("n")).collect()
+    least, total = 0, sum(r["n"] for r in rows)
+    for k, n in sorted((r["part"], r["n"]) for r in rows):
+        if total <= LISTED:
+            break
+        least, total = k + 1, total - n
+    listed = found.where((F.col("kind") == 2) & (F.col("part") >= least)).select("prints").collect()
+    return np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in listed)]))
 
 
-def multikey_order(keys: list[np.ndarray]) -> np.ndarray:
-    """The order of suffixes given as columns of eight-byte words: by the first word, and only where it ties by the next."""
-    order = np.argsort(keys[0], kind="stable")
-    tied = keys[0][order]
-    same = np.concatenate([[False], tied[1:] == tied[:-1]]) if len(tied) else np.zeros(0, bool)
-    for word in keys[1:]:
-        if not same.any():
-            break
-        run = np.cumsum(~same)  # equal so far
-        loose = same.copy()
-        loose[:-1] |= same[1:]
-        at = np.flatnonzero(loose)
-        part = order[at]
-        order[at] = part[np.lexsort((word[part], run[at]))]
-        w = word[order]
-        same = same & np.concatenate([[False], w[1:] == w[:-1]])
-    return order
+def _splitters(found: DataFrame, hot: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(leading eight bytes of anchors, whole windows of hot anchors) that part the buckets; the windows with repeats."""
+    drawn = found.where("kind = 3 and octet_length(prints) > 0").select("prints").orderBy(F.xxhash64("prints")).limit(SAMPLES).collect()
+    drawn = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in drawn)]).reshape(-1, 2 + len(WORDS))
+    windows = np.ascontiguousarray(drawn[:, 2:].astype(">u8"))
+    raw = windows.view(np.uint8).reshape(len(drawn), -1)
+    lead = np.zeros(len(drawn), np.uint64)
+    for k in range(8):  # the words lie end to end, but for the last that begins 42 bytes in; anchors begin 26 bytes in at most
+        lead = (lead << np.uint64(8)) | raw[np.arange(len(drawn)), drawn[:, 1].astype(np.int64) + k]
+    single = np.isin(drawn[:, 0], hot)
+    lead, whole = np.sort(lead[~single]), np.sort(windows[single].view(f"S{8 * len(WORDS)}").ravel())
+    cut = lambda x, n: x[np.linspace(0, len(x) - 1, n + 1).astype(int)[1:-1]] if len(x) else x
+    return np.unique(cut(lead, 2 * buckets)), cut(whole, buckets)
 
 
-_FIELDS = (("doc", "<i8"), ("text", "<i8"), ("key", "<u8"), ("at", "<i4"), ("n", "<u1"))
+_FIELDS = (("doc", "<i8"), ("text", "<i8"), ("at", "<i4"), ("n", "<u1"), ("lead", "<u1"))
+#: In place of an anchor's place in its first window: the window goes alone.
+ALONE = 255
 
 
-def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(doc_id, text_id, spans): runs (from, to) of covered bytes. docs: _doc, _text, _bytes, prints (packed fingerprints).
+def _covered(docs: DataFrame, splitters: np.ndarray, edges: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
+    """(part, string, least, doc, text, start, end): packed runs of covered bytes and, with a string, runs in the least document of a bucket that a smaller one of another bucket may cover. docs: _doc, _text, _bytes, prints.
 
-    A record is a run of n windows that share an anchor: their document, the fingerprint of the anchor, where the first
-    begins, and the n + LENGTH - 1 bytes they reach over.
+    A record is a run of n windows that share an anchor: their document, where the first begins, how far in it the anchor
+    is, and the n + LENGTH - 1 bytes they reach over.
     """
-    from pyspark.sql.types import BinaryType, IntegerType, LongType, StructField, StructType
+    from pyspark.sql.types import BinaryType, IntegerType, StructField, StructType
 
-    n_buckets = len(splitters) + 1
+    n_buckets = max(len(splitters), len(edges)) + 1
     sent = StructType([StructField("bucket", IntegerType()), StructField("kind", IntegerType()), *(StructField(c, BinaryType()) for c, _ in _FIELDS), StructField("bytes", BinaryType())])
 
-    def rows_of(b: np.ndarray, kind: int, cols: list[np.ndarray], raw: np.ndarray, off: np.ndarray, total: int) -> Iterator[tuple]:
-        order = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[order], np.arange(total + 1))
-        for k in range(total):
-            x = order[cuts[k] : cuts[k + 1]]
-            if len(x):
-                yield k, kind, [_pack(c[x], t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], _gather(raw, off[x], cols[4][x].astype(np.int64) + LENGTH - 1).tobytes()
-
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -208,16 +274,31 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
             raw = np.concatenate([h[8] for h in held])
             base = np.cumsum([0, *(len(h[8]) for h in held[:-1])])
             off = np.concatenate([h[7] + b for h, b in zip(held, base, strict=True)])
+            size = cols[3].astype(np.int64) + LENGTH - 1
             # of equal records only those of the least document go on; the others are covered by it
-            same = mix(string + mix(cols[2] + cols[4].astype(np.uint64)))
+            same = mix(string + mix((cols[3] * 256 + cols[4]).astype(np.uint64)))
             order = np.lexsort((cols[0], same))
             s, d = same[order], cols[0][order]
             first = np.concatenate([[True], s[1:] != s[:-1]])
-            least = d[np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))]
-            go, done = order[d == least], order[d != least]
-            rows = list(rows_of(bucket[go], 0, [c[go] for c in cols], raw, off[go], n_buckets))
+            head = np.maximum.accumulate(np.where(first, np.arange(len(s)), 0))
+            later = d != d[head]
+            done, by = order[later], order[head[later]]
+            if len(done):  # byte for byte
+                differs = _gather(raw, off[done], size[done]) != _gather(raw, off[by], size[done])
+                done = done[(np.add.reduceat(differs, np.cumsum(size[done]) - size[done]) == 0) & (size[done] == size[by])]
+            open_ = np.ones(len(s), bool)
+            open_[done] = False
+            go = np.flatnonzero(open_)
+            rows = []
+            order = go[np.argsort(bucket[go], kind="stable")]
+            cuts = np.searchsorted(bucket[order], np.arange(n_buckets + 1))
+            for k in range(n_buckets):
+                x = order[cuts[k] : cuts[k + 1]]
+                if len(x):
+                    rows.append((k, 0, [squeeze(c[x], t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], squeeze(_gather(raw, off[x], size[x]), "u1")))
             if len(done):
-                rows.append((mine, 1, [_pack(c[done], t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], b""))
+                done = np.sort(done)
+                rows.append((mine, 1, [squeeze(c[done], t) for c, (_, t) in zip(cols, _FIELDS, strict=True)], squeeze(raw[:0], "u1")))
             arrays = [pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), *(pa.array([r[2][k] for r in rows], pa.binary()) for k in range(5)), pa.array([r[3] for r in rows], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in sent.fields])
 
@@ -229,26 +310,27 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
                 keep = np.zeros(len(prints), bool)
                 cuts = np.searchsorted(owner, np.arange(len(bounds)))
                 for k in range(len(bounds) - 1):
-                    if cuts[k + 1] > cuts[k]:
-                        keep[cuts[k] : cuts[k + 1]] = np.isin(prints[cuts[k] : cuts[k + 1]], np.frombuffer(wanted[at + k] or b"", "<u8"))
+                    if cuts[k + 1] > cuts[k] and wanted[at + k]:
+                        keep[cuts[k] : cuts[k + 1]] = np.isin(prints[cuts[k] : cuts[k + 1]], unsqueeze(wanted[at + k], "<u8"))
                 prints, place, first, last, owner = (x[keep] for x in (prints, place, first, last, owner))
+                bucket = np.searchsorted(splitters, words_at(raw)[place].astype(np.uint64), side="right")
+                lead = place - first
                 common = np.isin(prints, hot)
-                if common.any():  # one record a window, dealt by the whole window
+                if common.any():  # one record a window, each a suffix of its own
                     n = (last - first + 1)[common]
                     each = np.repeat(np.flatnonzero(common), n)
                     start = first[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-                    prints, place, owner = (np.concatenate([x[~common], x[each]]) for x in (prints, place, owner))
+                    window = _whole(raw, start)
+                    low, high = np.searchsorted(edges, window, side="left"), np.searchsorted(edges, window, side="right")
+                    dealt = low + (mix(names[at + owner[each]].astype(np.uint64)) % (high - low + 1).astype(np.uint64)).astype(np.int64)
+                    owner, lead, bucket = (np.concatenate([x[~common], y]) for x, y in ((owner, owner[each]), (lead, np.full(len(each), ALONE)), (bucket, dealt)))
                     first, last = np.concatenate([first[~common], start]), np.concatenate([last[~common], start])
+                    by = np.argsort(owner, kind="stable")
+                    owner, lead, bucket, first, last = (x[by] for x in (owner, lead, bucket, first, last))
                 total, down = _prefix(raw), powers(len(raw) + 1)[1]
                 n = last - first + 1
                 string = mix((total[last + LENGTH] - total[first]) * down[first])
-                bucket = np.searchsorted(splitters, _lead(raw, place), side="right")
-                single = np.isin(prints, hot)
-                bucket[single] = string[single] % np.uint64(n_buckets)
-                key = prints + mix((place - first).astype(np.uint64))  # the anchor, and how far the first window is before it
-                key = np.where(single, mix(key ^ string), prints)
-                doc = names[at + owner].astype(np.int64)
-                held.append((doc, texts[at + owner].astype(np.int64), key, (first - bounds[owner]), n, bucket, mix(string + (place - first).astype(np.uint64)), *_cut(raw, first, n + LENGTH - 1)))
+                held.append((names[at + owner].astype(np.int64), texts[at + owner].astype(np.int64), first - bounds[owner], n, lead, bucket, string, *_cut(raw, first, n + LENGTH - 1)))
                 size += 33 * len(n) + len(held[-1][8])
                 at += len(bounds) - 1
                 if size >= FLUSH:
@@ -258,66 +340,98 @@ def _covered(docs: DataFrame, splitters: np.ndarray, hot: np.ndarray) -> DataFra
 
     def settle(t: pa.Table) -> pa.Table:
         open_, done = (t.filter(pc.equal(t.column("kind"), k)) for k in (0, 1))
-        doc, text, at, n = (shared.flat(done, c, d) for c, d in _FIELDS if c != "key")
+        doc, text, at, n = (shared.flat(done, c, d) for c, d in _FIELDS[:4])
         spans = [(doc, text, at.astype(np.int64), at.astype(np.int64) + n + LENGTH - 1)]
-        doc, text, key, at, n = (shared.flat(open_, c, d) for c, d in _FIELDS)
-        raw, n = shared.flat(open_, "bytes", "u1"), n.astype(np.int64)
-        size = n + LENGTH - 1
-        off = np.cumsum(size) - size
-        order = multikey_order([key])
-        # records of one key stay together; so many at once that their windows fit
-        upto, ends = np.cumsum(n[order]), np.flatnonzero(np.concatenate([key[order][1:] != key[order][:-1], [True]])) + 1 if len(key) else np.zeros(0, np.int64)
-        begin = 0
-        while begin < len(order):
-            k = int(np.searchsorted(upto[ends - 1], (upto[begin - 1] if begin else 0) + WINDOWS, side="right"))
-            end = max(int(ends[max(k - 1, 0)]), int(ends[np.searchsorted(ends, begin, side="right")]))
-            x = order[begin:end]
-            spans.append(_settle(doc[x], text[x], key[x], at[x].astype(np.int64), n[x], _gather(raw, off[x], size[x])))
-            begin = end
+        doc, text, at, n, lead = (shared.flat(open_, c, d) for c, d in _FIELDS)
+        raw, n, at = shared.flat(open_, "bytes", "u1"), n.astype(np.int64), at.astype(np.int64)
+        off = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
+        loose = []
+        for alone in (False, True):
+            x = np.flatnonzero((lead == ALONE) == alone)
+            if not len(x):
+                continue
+            order, new = suffix_order(raw, off[x] + (0 if alone else lead[x].astype(np.int64)), LENGTH if alone else GRAM)
+            x = x[order]
+            # suffixes with equal leading bytes stay together; so many at once that their windows fit
+            upto, ends = np.cumsum(n[x]), np.concatenate([np.flatnonzero(new[1:]) + 1, [len(x)]])
+            begin = 0
+            while begin < len(x):
+                k = int(np.searchsorted(upto[ends - 1], (upto[begin - 1] if begin else 0) + WINDOWS, side="right"))
+                end = max(int(ends[max(k - 1, 0)]), int(ends[np.searchsorted(ends, begin, side="right")]))
+                y = x[begin:end]
+                found, edge = _settle(doc[y], text[y], at[y], n[y], _gather(raw, off[y], n[y] + LENGTH - 1), edges if alone else edges[:0])
+                spans.append(found)
+                loose += edge
+                begin = end
         doc, text, start, end = (np.concatenate([s[c] for s in spans]) for c in range(4))
-        part = doc % n_buckets
-        order = np.argsort(part, kind="stable")
-        doc, text, start, end, part = (x[order] for x in (doc, text, start, end, part))
-        cuts = shared.runs(part)
-        packed = [pa.array([_pack(x[a:z], d) for a, z in cuts], pa.binary()) for x, d in ((doc, "<i8"), (text, "<i8"), (start, "<i4"), (end, "<i4"))]
-        return pa.table([pa.array([int(part[a]) for a, _ in cuts], pa.int32()), *packed], names=["part", "doc", "text", "start", "end"])
-
-    def gather(t: pa.Table) -> pa.Table:
-        doc, text, start, end = (shared.flat(t, c, d) for c, d in (("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("end", "<i4")))
-        order = np.lexsort((start, text, doc))
-        doc, text, start, end = doc[order], text[order], start[order], end[order]
-        out = [(int(doc[a]), int(text[a]), _pack(np.stack(merge(start[a:z], end[a:z]), 1), "<i4")) for a, z in shared.runs(doc, text)]
-        return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "text_id": pa.array([o[1] for o in out], pa.int64()), "spans": pa.array([o[2] for o in out], pa.binary())})
+        rows = []
+        for string, least, (doc, text, start, end) in [(None, None, (doc, text, start, end)), *loose]:
+            part = doc % parts
+            order = multikey_order([part, doc, text, start])
+            doc, text, start, end, part = (x[order] for x in (doc, text, start, end, part))
+            rows += [(int(part[a]), string, least, *(squeeze(x[a:z], d) for x, d in ((doc, "<i8"), (text, "<i8"), (start, "<i4"), (end - start, "<i4")))) for a, z in shared.runs(part)]
+        kinds = (pa.int32(), pa.binary(), pa.int64(), *[pa.binary()] * 4)
+        return pa.table([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(kinds)], names=["part", "string", "least", "doc", "text", "start", "size"])
 
-    found = docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent).groupBy("bucket").applyInArrow(settle, "part int, doc binary, text binary, start binary, end binary")
-    return found.groupBy("part").applyInArrow(gather, "doc_id bigint, text_id bigint, spans binary")
+    found = docs.select("_doc", "_text", "_bytes", "prints").mapInArrow(send, sent)
+    return found.groupBy("bucket").applyInArrow(settle, "part int, string binary, least bigint, doc binary, text binary, start binary, size binary")
 
 
-def _settle(doc: np.ndarray, text: np.ndarray, key: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(doc, text, from, to) of the windows of these records that a smaller document has too."""
+def _settle(doc: np.ndarray, text: np.ndarray, at: np.ndarray, n: np.ndarray, raw: np.ndarray, edges: np.ndarray) -> tuple[tuple[np.ndarray, ...], list[tuple]]:
+    """(doc, text, from, to) of the windows of these records that a smaller document has too; and (string, least document, the same of its windows) for every string in edges."""
     size = n + LENGTH - 1
     off = np.cumsum(size) - size
-    total, down = _prefix(raw), powers(len(raw) + 1)[1]
     each = np.repeat(np.arange(len(n)), n)
     begin = off[each] + np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
-    print_ = mix((total[begin + LENGTH] - total[begin]) * down[begin])
-    order = multikey_order([key[each], print_])
-    k, p, d = key[each][order], print_[order], doc[each][order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (p[1:] != p[:-1])])
-    least = np.minimum.reduceat(d, np.flatnonzero(new))[np.cumsum(new) - 1]
+    order, new = suffix_order(raw, begin, LENGTH)
+    heads, group = np.flatnonzero(new), np.cumsum(new) - 1
+    d = doc[each[order]]
+    least = np.minimum.reduceat(d, heads)
     hit = np.zeros(len(each), bool)
-    hit[order] = least < d
+    hit[order] = least[group] < d
     x = np.flatnonzero(hit)
-    start = at[each[x]] + begin[x] - off[each[x]]
-    return doc[each[x]], text[each[x]], start, start + LENGTH
+    run = np.concatenate([[True], (x[1:] != x[:-1] + 1) | (each[x[1:]] != each[x[:-1]])]) if len(x) else np.zeros(0, bool)
+    first, last = x[run], x[np.concatenate([run[1:], [True]])] if len(x) else x
+    of = each[first]
+    spans = (doc[of], text[of], at[of] + begin[first] - off[of], at[of] + begin[last] - off[of] + LENGTH)
+    loose = []
+    if len(edges):
+        strings = _whole(raw, begin[order[heads]])
+        for k in np.flatnonzero(np.isin(strings, edges)):
+            y = order[group == k]
+            y = y[~hit[y]]
+            of = each[y]
+            start = at[of] + begin[y] - off[of]
+            loose.append((bytes(strings[k]), int(least[k]), (doc[of], text[of], start, start + LENGTH)))
+    return spans, loose
+
+
+def _across(found: DataFrame) -> DataFrame:
+    """The runs that are covered once the least documents of a string's buckets are compared."""
+    loose = staged(found.where("string is not null"))
+    least = loose.groupBy(F.col("string").alias("_s")).agg(F.min("least").alias("_least"))
+    return loose.join(least, F.col("string") == F.col("_s")).where("least > _least").select(found.columns)
+
+
+def _by_text(found: DataFrame) -> DataFrame:
+    """(doc_id, text_id, spans): the merged runs of each text, one row a text."""
+
+    def gather(t: pa.Table) -> pa.Table:
+        doc, text, start, size = (shared.flat(t, c, d) for c, d in (("doc", "<i8"), ("text", "<i8"), ("start", "<i4"), ("size", "<i4")))
+        order = multikey_order([doc, text, start])
+        doc, text, start, end = doc[order], text[order], start[order], (start + size)[order]
+        out = [(int(doc[a]), int(text[a]), _pack(np.stack(merge(start[a:z], end[a:z]), 1), "<i4")) for a, z in shared.runs(doc, text)]
+        return pa.table({"doc_id": pa.array([o[0] for o in out], pa.int64()), "text_id": pa.array([o[1] for o in out], pa.int64()), "spans": pa.array([o[2] for o in out], pa.binary())})
+
+    return found.select("part", "doc", "text", "start", "size").groupBy("part").applyInArrow(gather, "doc_id bigint, text_id bigint, spans binary")
 
 
 def _copies(named: DataFrame) -> DataFrame:
     """(copy_id, copy_text) of texts that equal one of a smaller id by a 128-bit fingerprint. All their strings start there too, so they neither need a search nor cover more than it does."""
     keyed = named.select("_doc", "_text", text_key(F.col("_bytes").cast("string")).alias("k")).select("_doc", "_text", "k.a", "k.b")
-    least = keyed.groupBy("a", "b").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most")).where("least < most").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "least")
+    least = staged(keyed.groupBy("a", "b").agg(F.min("_doc").alias("least"), F.max("_doc").alias("most")).where("least < most").select(F.col("a").alias("_a"), F.col("b").alias("_b"), "least"))
     again = keyed.join(least, (F.col("a") == F.col("_a")) & (F.col("b") == F.col("_b"))).where("_doc > least")
-    return again.select(F.col("_doc").alias("copy_id"), F.col("_text").alias("copy_text")).distinct()
+    return again.select(F.col("_doc").alias("copy_id"), F.col("_text").alias("copy_text"))
 
 
 def _gather(raw: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -342,31 +456,28 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept) of every row; kept is the bytes that stay.
 
     Null text is empty. Rows with a null id neither lose nor cover anything; rows that share an id don't cover each
-    other. Strings are judged on the input. Matches never cross documents. Equality is by 64-bit fingerprints within
-    one anchor's windows.
+    other, so ties have no order. Strings are judged on the input, byte for byte. Matches never cross documents. Whole
+    copies are known by a 128-bit fingerprint. An empty table gives an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("_doc"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_t"))
     rows = rows.select("_doc", F.xxhash64("_t").alias("_text"), F.col("_t").cast("binary").alias("_bytes"))
     named = rows.where(f"_doc is not null and octet_length(_bytes) >= {LENGTH}")
-    copies = staged(_copies(named))
+    copies = staged(_copies(named).distinct())
     named = named.join(copies, (F.col("_doc") == F.col("copy_id")) & (F.col("_text") == F.col("copy_text")), "left_anti")
-    n_docs = docs.count()
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    size = rows.agg(F.sum(F.octet_length("_bytes"))).first()[0] or 0
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), size // BUCKET)
     with arrow_rows(spark, BATCH):
-        found = staged(_shared_anchors(named, buckets, max(HOT, n_docs // RARE)))
-    release_shuffles(spark)
-    hot = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 2").select("prints").collect())])
-    lead = np.sort(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in found.where("kind = 3").select("prints").orderBy(F.xxhash64("prints")).limit(SAMPLES).collect())]))
-    splitters = np.unique(lead[np.linspace(0, len(lead) - 1, 2 * buckets + 1).astype(int)[1:-1]]) if len(lead) else lead
-    wanted = _by_document(found)
-    near = named.join(wanted, F.col("_doc") == F.col("doc_id")).select("_doc", "_text", "_bytes", "prints")
+        found = staged(_shared_anchors(named, buckets))
+    hot = _hot(found)
+    splitters, edges = _splitters(found, hot, buckets)
+    near = named.join(_by_document(found), F.col("_doc") == F.col("doc_id")).select("_doc", "_text", "_bytes", "prints")
     with arrow_rows(spark, BATCH):
-        spans = staged(_covered(near, splitters, hot))
+        runs = staged(_covered(near, splitters, edges, hot, buckets))
     drop_staged(found)
-    release_shuffles(spark)
-    spans = spans.groupBy("doc_id", "text_id").agg(F.collect_list("spans").alias("spans")).withColumn("whole", F.lit(False))
-    spans = spans.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_text").alias("text_id"), F.lit(None).cast("array<binary>").alias("spans"), F.lit(True).alias("whole")))
+    sure = runs.where("string is null")
+    spans = _by_text(sure.unionByName(_across(runs)) if len(edges) else sure).withColumn("whole", F.lit(False))
+    spans = spans.unionByName(copies.select(F.col("copy_id").alias("doc_id"), F.col("copy_text").alias("text_id"), F.lit(None).cast("binary").alias("spans"), F.lit(True).alias("whole")))
     full = rows.join(spans, (F.col("_doc") == F.col("doc_id")) & (F.col("_text") == F.col("text_id")), "left").select("_doc", "_bytes", "spans", "whole")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -377,9 +488,7 @@ def drop_repeated_bytes(docs: DataFrame, text: str = "text", key: str = "doc_id"
                 if whole:
                     out.append((len(raw), len(raw), 1, b""))
                 elif packed:
-                    s = np.frombuffer(b"".join(packed), "<i4").reshape(-1, 2).astype(np.int64)
-                    s = s[np.argsort(s[:, 0], kind="stable")]
-                    start, end = merge(s[:, 0], s[:, 1])
+                    start, end = np.frombuffer(packed, "<i4").reshape(-1, 2).astype(np.int64).T
                     left = b"".join(raw[a:z] for a, z in zip([0, *end.tolist()], [*start.tolist(), len(raw)], strict=True))
                     out.append((len(raw), int((end - start).sum()), len(start), left))
                 else:
