@@ -1,12 +1,19 @@
-"""Exact Jaccard self-join of shingle sets in a metric space: pivots, regions, triangle-inequality windows, recursion.
-
-Jaccard distance is a metric, so for any pivot p two sets within delta of each other are at distances from p that differ
-by delta at most. Far pivots say nothing (nearly all pairs of texts are at distance 1), so a text is measured only
-against pivots that it may be near: both sets of a linked pair agree in at least one of a fixed number of hash parts
-(they can differ in fewer elements than there are parts), and every part's least set is a pivot for all that share it.
-Each pivot's region then falls into shells as wide as delta. Sets in the innermost shell link to the pivot, and so to
-each other's component, without any pair being made. Each further shell is joined with itself and with the boundary
-sets of the shell inside it: small ones directly, large ones by choosing a new pivot among them, and so on.
+"""Exact Jaccard self-join of shingle sets in a metric space: pivots, Voronoi cells, triangle-inequality windows, recursion.
+
+Jaccard distance is a metric, but nearly all pairs of texts are at distance 1, where pivots say nothing. So the space
+falls into regions first: both sets of a linked pair agree in some of a fixed number of hash parts, and in how many at
+least is known from their sizes, as they can differ in so many elements only. Sets with too few shared parts have no
+partner and go. If two sets share k parts at least, they share one even without the k - 1 most frequent parts of each,
+so these go too, and with them what many documents quote. The connected components over the parts that are left are
+the regions, and no link leaves one.
+
+A region of LEAF sets is joined directly. A larger one draws pivots and measures every set against all of them once,
+wherever it is. Sets linked to a pivot are of its component without any pair being made, and pairs within one component
+are never tested again. What remains is between the region's main component and other sets, the askers. If these are
+few, they meet the region's sets chunk by chunk. If they are many, the region falls into the Voronoi cells of its
+pivots. An asker y stays in the cell of its nearest pivot p, and a set x within delta of it is replicated to that cell if
+d(x, p) <= d(x, nearest) + 2 delta and d(x, p) is within delta of the askers' distances, as the triangle inequality has
+it. Cells are regions again, and so on; a cell that its parent's pivots hardly made smaller is dealt into blocks.
 """
 
 from __future__ import annotations
@@ -21,18 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
-from .common import arrow_rows, drop_staged, release_shuffles, staged
+from .common import arrow_rows, drop_staged, staged
 from .components import connected_components
 from .shingles import mix, shingle_sets
 
-#: Sizes of one class differ by this factor; parts exceed the differences by SPARE; a region of LEAF sets is joined directly, over CELLS cells of its incidence matrix at a time.
-CLASS, SPARE, LEAF, CELLS = 1.6, 1.1, 256, 20_000_000
-#: Rows of whole sets or texts that Python gets at once.
-BATCH = 400
-#: Bytes of parts that a task holds before it sends them on.
-FLUSH = 48_000_000
-#: A region whose next shell holds more than STUCK of it isn't split further by pivots but dealt into blocks.
-STUCK, MAX_LEVELS = 0.5, 12
+#: Sizes of one class differ by this factor; parts exceed the differences by SPARE; a region of LEAF sets and LEAF_BYTES is joined directly, over CELLS cells of its incidence matrix at a time.
+CLASS, SPARE, LEAF, LEAF_BYTES, CELLS = 1.6, 1.4, 256, 32_000_000, 20_000_000
+#: Rows of whole sets or texts that Python gets at once; bytes of parts that a task holds before it sends them on; bytes of sets to a bucket of regions.
+BATCH, FLUSH, BUCKET = 400, 48_000_000, 32_000_000
+#: Pivots of a region, as expected; a cell with more than STUCK of its parent's sets isn't split further but dealt into blocks.
+PIVOTS, STUCK, MAX_LEVELS = 16, 0.5, 12
+#: Times that sets without enough shared parts are dropped, which leaves others without.
+ROUNDS = 2
 
 
 @lru_cache(4096)
@@ -53,22 +60,28 @@ def size_classes(size: int, num: int, den: int) -> tuple[tuple[int, int, int], .
 
 
 def signatures(h: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Fingerprints of the non-empty parts of a set. Linked sets share one, unless they are equal.
+    return shared_parts(h, num, den)[0]
 
-    With more non-empty parts than differences, some part is untouched; a set without so many (a small one) is listed
-    under each element besides.
+
+def shared_parts(h: np.ndarray, num: int, den: int) -> tuple[np.ndarray, list[int | None]]:
+    """Fingerprints of the non-empty parts of a set, their lowest bit being that of the size class, and for each value of this bit how many of them a linked set has too, at least.
+
+    Differing elements leave all but as many parts alone. A set without more non-empty parts than differences (a small
+    one) is listed under each element besides, of which one at least is common.
     """
-    out = [np.zeros(0, np.uint64)]
+    out, need = [np.zeros(0, np.uint64)], [None, None]
     for cls, parts, most in size_classes(len(h), num, den):
         salt = mix(np.array([cls + 1], np.uint64))
         part = mix(h ^ salt) % np.uint64(parts)
         order = np.argsort(part, kind="stable")
         part, member = part[order], mix(h[order] + salt)
         begin = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
-        out.append(mix(np.add.reduceat(member, begin) + mix(part[begin] * np.uint64(64) + np.uint64(cls))))
+        named = [mix(np.add.reduceat(member, begin) + mix(part[begin] * np.uint64(64) + np.uint64(cls)))]
         if len(begin) <= most:
-            out.append(mix(h + mix(salt + np.uint64(99))))
-    return np.concatenate(out).view(np.int64)
+            named.append(mix(h + mix(salt + np.uint64(99))))
+        out += [(x >> np.uint64(1) << np.uint64(1)) | np.uint64(cls & 1) for x in named]
+        need[cls & 1] = max(1, len(begin) - most)
+    return np.concatenate(out).view(np.int64), need
 
 
 def set_class(h: np.ndarray) -> int:
@@ -76,26 +89,32 @@ def set_class(h: np.ndarray) -> int:
 
 
 def _sketch(docs: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
-    """(key, n_shingles, cls, sigs) of every row; copies after the first in a task have no sigs."""
+    """(row, id, n, cls, sigs, need0, need1) of every row; row numbers the rows, copies after the first in a task have no sigs."""
+    from pyspark import TaskContext
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, cls, sigs = [], [], []
+            n, cls, sigs, needs = [], [], [], []
             for h in shingle_sets(batch.column(1), size):
                 n.append(len(h))
                 cls.append(set_class(h) if len(h) else None)
-                sigs.append(signatures(h, num, den) if len(h) and cls[-1] not in seen else np.zeros(0, np.int64))
+                named, need = shared_parts(h, num, den) if len(h) and cls[-1] not in seen else (np.zeros(0, np.int64), (None, None))
+                sigs.append(named)
+                needs.append(need)
                 seen.add(cls[-1])
             ends = np.cumsum([0, *map(len, sigs)]).astype(np.int32)
             flat = pa.array(np.concatenate([np.zeros(0, np.int64), *sigs]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat)], names=["id", "n", "cls", "sigs"])
+            arrays = [pa.array(np.arange(row, row + len(n))), batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), flat), *(pa.array([x[k] for x in needs], pa.int32()) for k in (0, 1))]
+            row += len(n)
+            yield pa.RecordBatch.from_arrays(arrays, names=["row", "id", "n", "cls", "sigs", "need0", "need1"])
 
-    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "id bigint, n bigint, cls bigint, sigs array<bigint>")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "row bigint, id bigint, n bigint, cls bigint, sigs array<bigint>, need0 int, need1 int")
 
 
 def _shared_parts(sketch: DataFrame, buckets: int) -> DataFrame:
-    """(sig, cls) of the parts that several classes have, and no others: most parts are in one set only, and none of those moves as a row."""
+    """(sig, row) of the parts that several rows have, and no others: most parts are in one set only, and none of those moves as a row."""
     from pyspark import TaskContext
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,90 +139,58 @@ def _shared_parts(sketch: DataFrame, buckets: int) -> DataFrame:
             yield out()
 
     def meet(t: pa.Table) -> pa.Table:
-        ids, prints, _ = shared.meet(t, 1 << 60)
-        return pa.table({"sig": pa.array(prints.view(np.int64)), "cls": pa.array(ids)})
+        ids, prints, _, _ = shared.meet(t)
+        return pa.table({"sig": pa.array(prints.view(np.int64)), "row": pa.array(ids)})
 
-    full = sketch.where("cls is not null and size(sigs) > 0").select("cls", "sigs")
-    return full.mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "sig bigint, cls bigint")
+    full = sketch.where("size(sigs) > 0").select("row", "sigs")
+    return full.mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "sig bigint, row bigint")
 
 
-def _supported(sets: DataFrame, buckets: int, num: int, den: int) -> DataFrame:
-    """(cls) of the sets of which enough elements are in another set too; a set with more elements of its own has no partner."""
-    from pyspark import TaskContext
+def _candidates(parts: DataFrame, sketch: DataFrame) -> DataFrame:
+    """(sig, cls, p) of the classes that share as many parts as a linked one must, with another such class; p is the least class of a part. Of each class the most frequent parts are left out that can't be all it shares with a linked one."""
+    need = [sketch.where(f"need{k} is not null").groupBy(F.col("cls").alias("_cls")).agg(F.max(f"need{k}").alias("need")).withColumn("_bit", F.lit(k).cast("long")) for k in (0, 1)]
+    need = need[0].unionByName(need[1])
+    bit = F.col("sig").bitwiseAND(F.lit(1).cast("long"))
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        names: list[int] = []
-        size = 0
+    def several(df: DataFrame) -> DataFrame:
+        of = df.groupBy(F.col("sig").alias("_sig")).agg(F.min("cls").alias("p"), F.max("cls").alias("_q"), F.count(F.lit(1)).alias("often")).where("p <> _q").drop("_q")
+        return df.join(of, F.col("sig") == F.col("_sig")).drop("_sig")
 
-        def out() -> pa.RecordBatch:
-            owner = np.repeat(np.arange(len(held)), [len(h) for h in held])
-            return shared.packed(shared.entries(np.concatenate(held), owner, np.array(names, np.int64), buckets, int(TaskContext.get().partitionId())))
-
-        for batch in batches:
-            for m in batch.column(1):
-                held.append(np.frombuffer(m.as_py(), np.uint64))
-                size += 20 * len(held[-1])
-            names += batch.column(0).to_pylist()
-            if size >= FLUSH:
-                yield out()
-                held, names, size = [], [], 0
-        if held:
-            yield out()
-
-    def meet(t: pa.Table) -> pa.Table:
-        ids = shared.meet(t, 1 << 60)[0]
-        of, n = np.unique(ids, return_counts=True)
-        part = of % buckets
-        order = np.argsort(part, kind="stable")
-        of, n, part = of[order], n[order], part[order]
-        cuts = shared.runs(part)
-        return pa.table({"part": pa.array([int(part[a]) for a, _ in cuts], pa.int32()), "ids": pa.array([of[a:z].tobytes() for a, z in cuts], pa.binary()), "counts": pa.array([n[a:z].astype("<i8").tobytes() for a, z in cuts], pa.binary())})
-
-    def total(t: pa.Table) -> pa.Table:
-        of, where = np.unique(shared.flat(t, "ids", "<i8"), return_inverse=True)
-        n = np.zeros(len(of), np.int64)
-        np.add.at(n, where, shared.flat(t, "counts", "<i8"))
-        return pa.table({"of": pa.array(of), "n": pa.array(n)})
-
-    found = sets.select("cls", "members").mapInArrow(find, shared.SCHEMA).groupBy("bucket").applyInArrow(meet, "part int, ids binary, counts binary")
-    counts = found.groupBy("part").applyInArrow(total, "of bigint, n bigint")
-    both = sets.select("cls", (F.octet_length("members") / 8).alias("size")).join(counts, F.col("cls") == F.col("of"))
-    return both.where(F.col("n") * den >= F.col("size") * num).select("cls")
+    named = parts.join(sketch.where("cls is not null").select("row", "cls"), "row").select("sig", "cls").distinct()
+    found = staged(several(named))
+    drop_staged(parts)
+    for _ in range(ROUNDS):
+        able = found.groupBy("cls", bit.alias("bit")).agg(F.count(F.lit(1)).alias("held")).join(need, (F.col("cls") == F.col("_cls")) & (F.col("bit") == F.col("_bit"))).where("held >= need").select(F.col("cls").alias("_c"), "_bit", "need")
+        able = staged(able)
+        left = staged(several(found.select("sig", "cls").join(able.drop("need"), (F.col("cls") == F.col("_c")) & (bit == F.col("_bit")), "left_semi")))
+        drop_staged(found)
+        found = left
+    order = Window.partitionBy("cls", "_bit").orderBy(F.desc("often"), "sig")
+    ranked = found.join(able, (F.col("cls") == F.col("_c")) & (bit == F.col("_bit"))).withColumn("_rank", F.row_number().over(order))
+    left = staged(several(ranked.where("_rank >= need").select("sig", "cls")))
+    drop_staged(found)
+    return left
 
 
 def _sets(docs: DataFrame, text: str, key: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(cls, members) of the classes in wanted (id, cls): the set's sorted fingerprints as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(shingle_sets(batch.column(1), size))
-            ok = [k for k, (h, c) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)) if len(h) and set_class(h) == c]  # an id may name several texts
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), pa.array([sets[k].tobytes() for k in ok], pa.binary())], names=["cls", "members"])
-
-    found = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text")).join(wanted, F.col("_id") == F.col("id")).select("cls", "text")
-    return found.mapInArrow(run, "cls bigint, members binary").dropDuplicates(["cls"])
-
-
-def _measure(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """pairs (x, p, ...) plus d, the distance, and linked, exactly."""
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+    """(cls, members) of the classes in wanted (id, cls): the set's sorted fingerprints as bytes.
 
-    schema = StructType([*pairs.schema.fields, StructField("d", DoubleType()), StructField("linked", BooleanType())])
-    names = pairs.columns
+    wanted grows with the documents and is never broadcast. Rows that share an id come to one task, which passes a class
+    on once; if Spark splits a large task, a class may come once from each part, which adds no pair that matters.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            d, linked = [], []
-            for a, b in zip(batch.column(len(names)), batch.column(len(names) + 1), strict=True):
-                both, either = overlap(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64))
-                d.append(1 - both / either)
-                linked.append(den * both >= num * either)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(len(names))), pa.array(d, pa.float64()), pa.array(linked, pa.bool_())], names=[f.name for f in schema.fields])
+            sets, ok = list(shingle_sets(batch.column(1), size)), []
+            for k, (h, c) in enumerate(zip(sets, batch.column(0).to_pylist(), strict=True)):
+                if len(h) and c not in seen and set_class(h) == c:  # an id may name several texts
+                    ok.append(k)
+                    seen.add(c)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ok, pa.int64())), pa.array([sets[k].tobytes() for k in ok], pa.binary())], names=["cls", "members"])
 
-    of = lambda name: sets.select(F.col("cls").alias(f"_{name}"), F.col("members").alias(f"_m{name}"))
-    both = pairs.join(of("x"), F.col("x") == F.col("_x")).join(of("p"), F.col("p") == F.col("_p"))
-    return both.select(*names, "_mx", "_mp").mapInArrow(run, schema)
+    found = docs.select(F.col(f"`{key}`").cast("long").alias("_id"), F.col(f"`{text}`").alias("text")).join(wanted.hint("merge"), F.col("_id") == F.col("id")).select("cls", "text")
+    return found.mapInArrow(run, "cls bigint, members binary")
 
 
 def overlap(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -235,43 +222,120 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64) + np.diag(np.array(size) - out.diagonal().astype(np.int64))
 
 
-def _shells(measured: DataFrame, delta: float, region: list[str]) -> DataFrame:
-    """(region, x, asks, own): every set in its shell and, as a boundary set, in the next; the innermost shell is done.
+def forest(ok: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that tie together what the symmetric matrix ok does, one fewer than nodes in each component."""
+    links, fresh = [], np.ones(len(ok), bool)
+    for root in np.flatnonzero(ok.any(1)):
+        if not fresh[root]:
+            continue
+        fresh[root], front = False, [root]
+        while front:
+            i = front.pop()
+            near = np.flatnonzero(ok[i] & fresh)
+            fresh[near] = False
+            links += [(int(i), int(j)) for j in near]
+            front += near.tolist()
+    return links
+
+
+#: What a set does in a region: asks and is asked, only asks, only is asked.
+BOTH, ASKS, ASKED = 0, 1, 2
 
-    A pair is still to be tested if one of the two asks, and both lie in one shell or in adjacent ones.
-    """
-    shell = F.floor(F.col("d") / (delta + 1e-9))
-    placed = measured.withColumn("shell", shell)
-    own = placed.where("shell > 0").select(F.xxhash64(*region, "shell").alias("region"), "x", "asks", F.lit(True).alias("own"))
-    edge = placed.select(F.xxhash64(*region, F.col("shell") + 1).alias("region"), "x", "asks", F.lit(False).alias("own"))
-    return own.unionByName(edge)
 
+def _busy(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows (region, x, size, role, was, d) of regions where a pair may still tie two components together, with comp, the region's sets n, bytes, askers and least asker by hash.
 
-def _busy(regions: DataFrame, groups: DataFrame) -> DataFrame:
-    """The rows of regions where a pair may still tie two components together, with comp, n and pivot (the least set of its own)."""
-    named = regions.join(groups, F.col("x") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "x")).drop("node", "component")
-    worth = named.groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.max(F.col("asks").cast("int")).alias("a"), F.min(F.when(F.col("own") & F.col("asks"), F.col("x"))).alias("pivot"), F.min(F.when(F.col("own"), F.col("x"))).alias("other"))
-    worth = worth.where("c0 <> c1 and a = 1 and other is not null").select(F.col("region").alias("_r"), "n", F.coalesce("pivot", "other").alias("pivot"))
-    return named.join(worth, F.col("region") == F.col("_r")).drop("_r")
+    Where all sets ask, those of the main component are only asked: any pair to be tested has a set that isn't of it.
+    """
+    named = rows.withColumn("comp", F.col("x")) if groups is None else rows.join(groups, F.col("x") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "x")).drop("node", "component")
+    both = F.col("role") == BOTH
+    parts = named.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"), F.sum(both.cast("int")).alias("ask"))
+    of = parts.groupBy(F.col("region").alias("_r")).agg(F.count(F.lit(1)).alias("_comps"), F.sum("n").alias("n"), (F.sum("size") * 8).alias("bytes"), F.sum("ask").alias("_ask"), F.max(F.struct("n", "comp")).alias("_main"))
+    of = of.where("_comps > 1 and _ask > 0").select("_r", "n", "bytes", (F.col("n") == F.col("_ask")).alias("_all"), "_main", F.when(F.col("n") == F.col("_ask"), F.col("n") - F.col("_main.n")).otherwise(F.col("_ask")).alias("askers"))
+    out = named.join(of, F.col("region") == F.col("_r"))
+    return out.withColumn("role", F.when(F.col("_all") & (F.col("comp") == F.col("_main.comp")), ASKED).otherwise(F.col("role"))).drop("_r", "_all", "_main")
 
 
-def _join_leaves(rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Links (a, b) of rows (region, x, asks, own, comp, side): all pairs of a region that may tie two components; with sides set, of different sides only."""
+def _join_leaves(rows: DataFrame, sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """Links (a, b) between the components of rows (region, x, role, comp), a spanning forest of each bounded region; a task gets many regions."""
 
     def run(t: pa.Table) -> pa.Table:
-        x, asks, own, comp = (np.array(t.column(c).to_pylist()) for c in ("x", "asks", "own", "comp"))
-        side = np.array([-1 if v is None else v for v in t.column("side").to_pylist()])
-        sets_ = [np.frombuffer(m, np.uint64) for m in t.column("members").to_pylist()]
-        size = np.array([len(m) for m in sets_])
-        both = overlaps(sets_)
-        ok = den * both >= num * (size[:, None] + size[None, :] - both)
-        ok &= (x[:, None] != x[None, :]) & (comp[:, None] != comp[None, :]) & (asks[:, None] | asks[None, :]) & (own[:, None] | own[None, :])
-        ok &= (side[:, None] < 0) | (side[:, None] != side[None, :])
-        links = [(int(x[i]), int(x[j])) for i, j in np.argwhere(np.triu(ok, 1))]
+        region, x, role, comp = (t.column(c).to_numpy() for c in ("region", "x", "role", "comp"))
+        members, links = pa.concat_arrays(t.column("members").cast(pa.large_binary()).chunks), []
+        order = np.argsort(region, kind="stable")
+        for a, z in shared.runs(region[order]):
+            k = order[a:z]
+            sets_ = [np.frombuffer(members[i].as_py(), np.uint64) for i in k.tolist()]
+            size = np.array([len(m) for m in sets_])
+            both = overlaps(sets_)
+            ok = den * both >= num * (size[:, None] + size[None, :] - both)
+            ask, asked = role[k] != ASKED, role[k] != ASKS
+            ok &= (comp[k][:, None] != comp[k][None, :]) & ((ask[:, None] & asked[None, :]) | (asked[:, None] & ask[None, :]))
+            links += [(int(x[k[i]]), int(x[k[j]])) for i, j in forest(ok)]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    full = rows.join(sets, F.col("x") == F.col("cls")).select("region", "x", "asks", "own", "comp", "side", "members")
-    return full.groupBy("region").applyInArrow(run, "a bigint, b bigint")
+    full = rows.join(sets, F.col("x") == F.col("cls")).select(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket"), "region", "x", "role", "comp", "members")
+    return full.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """Askers in blocks of about LEAF sets and LEAF_BYTES, all sets in chunks of as many; each block meets each chunk in a region of its own, so no task holds a whole one."""
+    many = lambda n: F.greatest(F.ceil(F.col(n) / LEAF), F.ceil(F.col("bytes") * F.col(n) / F.col("n") / LEAF_BYTES)).cast("int")
+    dealt = rows.withColumn("_i", many("askers")).withColumn("_j", many("n"))
+    mine = lambda n, salt: F.pmod(F.xxhash64("x", F.lit(salt)), F.col(n)).cast("int")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    asks = dealt.where(F.col("role") != ASKED).withColumn("_b", mine("_i", 1)).withColumn("_c", spread("_j")).withColumn("role", F.lit(ASKS))
+    asked = dealt.withColumn("_c", mine("_j", 2)).withColumn("_b", spread("_i")).withColumn("role", F.lit(ASKED))
+    return asks.unionByName(asked).withColumn("region", F.xxhash64("region", "_b", "_c")).select("region", "x", "role", "comp")
+
+
+def _measured(rows: DataFrame, sets: DataFrame, num: int, den: int, level: int) -> DataFrame:
+    """(region, x, size, d, links): the distances of every set to its region's pivots, in their order, and the pivots it is linked with.
+
+    rows (region, x, size, n, bytes): a set is a pivot by its hash, PIVOTS of a region as expected, and the set of the least
+    hash always. Chunks of a region's sets meet a copy of its pivots, so no task holds a whole region.
+    """
+    draw = F.xxhash64("x", F.lit(level))
+    first = rows.groupBy(F.col("region").alias("_r")).agg(F.min(draw).alias("_least"), F.max(F.greatest(F.ceil(F.col("n") / (2 * LEAF)), F.ceil(F.col("bytes") / LEAF_BYTES))).cast("int").alias("chunks"))
+    dealt = rows.join(first, F.col("region") == F.col("_r"))
+    full = staged(dealt.join(sets, F.col("x") == F.col("cls")).select("region", "x", "size", "chunks", (F.pmod(draw, F.col("n")) < PIVOTS).alias("pivot") | (draw == F.col("_least")), "members").toDF("region", "x", "size", "chunks", "pivot", "members"))
+    pivots = full.where("pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("region", "chunk", "x", "members")
+
+    def measure(left: pa.Table, right: pa.Table) -> pa.Table:
+        right = right.sort_by("x")
+        names = right.column("x").to_numpy()
+        held = [np.frombuffer(m.as_py(), np.uint64) for m in right.column("members")]
+        known, column = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_inverse=True)
+        table = np.zeros((len(known) + 1, len(held)), bool)
+        table[column, np.repeat(np.arange(len(held)), [len(h) for h in held])] = True
+        sizes = np.array([len(h) for h in held])
+        d, links = [], []
+        for m in left.column("members"):
+            h = np.frombuffer(m.as_py(), np.uint64)
+            at = np.searchsorted(known, h)
+            at[at < len(known)] = np.where(known[at[at < len(known)]] == h[at < len(known)], at[at < len(known)], len(known))
+            both = table[at].sum(0)
+            either = len(h) + sizes - both
+            d.append(1 - both / either)
+            links.append(names[den * both >= num * either])
+        return pa.table({"region": left.column("region"), "x": left.column("x"), "size": left.column("size"), "d": pa.array(d, pa.list_(pa.float64())), "links": pa.array(links, pa.list_(pa.int64()))})
+
+    chunked = full.select("region", F.pmod(F.xxhash64("x", F.lit(3)), F.col("chunks")).cast("int").alias("chunk"), "x", "size", "members")
+    out = staged(chunked.groupBy("region", "chunk").cogroup(pivots.groupBy("region", "chunk")).applyInArrow(measure, "region bigint, x bigint, size bigint, d array<double>, links array<bigint>"))
+    drop_staged(full)
+    return out
+
+
+def _cells(rows: DataFrame, delta: float) -> DataFrame:
+    """Rows (region, x, size, role, d, n) of the Voronoi cells that have askers: these, and every set that may be within delta of one."""
+    wide = delta + 1e-9
+    placed = rows.withColumn("_near", F.array_min("d")).withColumn("_own", F.expr("array_position(d, array_min(d)) - 1").cast("int"))
+    hosts = placed.where(F.col("role") != ASKED).groupBy("region", "_own").agg(F.min("_near").alias("lo"), F.max("_near").alias("hi"))
+    hosts = hosts.groupBy(F.col("region").alias("_r")).agg(F.collect_list(F.struct(F.col("_own").alias("p"), "lo", "hi")).alias("hosts"))
+    at = F.expr(f"filter(hosts, h -> (h.p = _own and role <> {ASKED}) or (d[h.p] <= _near + 2 * {wide} and d[h.p] >= h.lo - {wide} and d[h.p] <= h.hi + {wide}))")
+    each = placed.join(hosts, F.col("region") == F.col("_r")).withColumn("_h", F.explode(at))
+    stays = (F.col("_h.p") == F.col("_own")) & (F.col("role") != ASKED)
+    return each.select(F.xxhash64("region", "_h.p").alias("region"), "x", "size", F.when(stays, BOTH).otherwise(ASKED).alias("role"), F.col("n").alias("was"), F.lit(None).cast("array<double>").alias("d"))
 
 
 def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -279,89 +343,81 @@ def near_classes(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
 
     Two texts link when den * |A & B| >= num * |A | B| for their sets A, B of lower-cased (A-Z) word shingles. Null text
     or one without words has no set and is its own component; so is a row with a null id, whose component is null. Equal
-    texts are one class; rows that share an id are separate documents. Exact: candidates and windows lose no link, only
-    pairs that would join one component again are left out.
+    texts are one class; rows that share an id are separate documents; an empty table gives an empty result. Exact:
+    regions and windows lose no link, only pairs that would join one component again are left out.
     """
     with arrow_rows(docs.sparkSession, BATCH):
         return _near_classes(docs, text, key, size, num, den)
 
 
 def _near_classes(docs: DataFrame, text: str, key: str, size: int, num: int, den: int) -> DataFrame:
-    delta = 1 - num / den
     spark = docs.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sketch = staged(_sketch(docs, text, key, size, num, den))
-    parts = staged(_shared_parts(sketch, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))))
-    release_shuffles(spark)
-    least = parts.groupBy("sig").agg(F.min("cls").alias("p"), F.max("cls").alias("q")).where("p <> q").select(F.col("sig").alias("_sig"))
-    several = staged(parts.join(least, F.col("sig") == F.col("_sig"), "left_semi").distinct())
-    drop_staged(parts)
-    release_shuffles(spark)
-    slim = staged(sketch.select("id", "n", "cls"))
+    total = sketch.agg(F.sum(F.size("sigs"))).first()[0] or 0
+    parts = staged(_shared_parts(sketch, max(buckets, 8 * total // BUCKET)))
+    slim = staged(sketch.select("row", "id", "n", "cls", "need0", "need1"))
     drop_staged(sketch)
     sketch = slim
-    wanted = several.select(F.col("cls").alias("c")).distinct()
-    wanted = staged(sketch.where("cls is not null and id is not null").select("id", "cls").join(wanted, F.col("cls") == F.col("c"), "left_semi").groupBy("cls").agg(F.min("id").alias("id")))
-    sets = staged(_sets(docs, text, key, size, wanted))
-    release_shuffles(spark)
-    for _ in range(2):  # without the first round's losers others have too little left
-        able = staged(_supported(sets, max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), num, den))
-        kept = staged(sets.join(able.withColumnRenamed("cls", "_able"), F.col("cls") == F.col("_able"), "left_semi"))
-        drop_staged(sets)
-        sets = kept
-    several = several.join(able.withColumnRenamed("cls", "_able"), F.col("cls") == F.col("_able"), "left_semi")
-    pivots = several.groupBy("sig").agg(F.min("cls").alias("p")).select(F.col("sig").alias("_sig"), "p")
-    near = staged(several.join(pivots, F.col("sig") == F.col("_sig")).where("cls <> p").select(F.col("cls").alias("x"), "p").distinct())
-    release_shuffles(spark)
-
-    done = staged(_measure(near, sets, num, den))
-    links = done.where("linked").select(F.col("x").alias("a"), F.col("p").alias("b"))
-    groups = connected_components(links)
-    regions = _shells(done.select("x", "p", "d", F.lit(True).alias("asks")), delta, ["p"])
-    more = []
-    for level in range(MAX_LEVELS + 1):
-        busy = staged(_busy(regions, groups))
-        small, large = (busy.agg(F.sum((F.col("n") <= LEAF).cast("int")), F.sum((F.col("n") > LEAF).cast("int"))).first()[k] or 0 for k in range(2))
-        if small:
-            more.append(staged(_join_leaves(busy.where(F.col("n") <= LEAF).withColumn("side", F.lit(None).cast("int")), sets, num, den)))
-        if not large:
-            break
-        wide = busy.where(F.col("n") > LEAF)
-        stuck = wide.where(F.lit(level == MAX_LEVELS))
-        if level:
-            stuck = wide.where((F.lit(level == MAX_LEVELS)) | (F.col("n") > STUCK * F.coalesce("was", F.lit(1 << 60))))
-        if level and stuck.limit(1).count():
-            more.append(staged(_join_leaves(_blocks(stuck), sets, num, den)))
-            wide = wide.where(~((F.lit(level == MAX_LEVELS)) | (F.col("n") > STUCK * F.coalesce("was", F.lit(1 << 60)))))
-        if level == MAX_LEVELS:
-            break
-        measured = staged(_measure(wide.select("x", F.col("pivot").alias("p"), "asks", "region", F.col("n").alias("was")), sets, num, den))
-        more.append(measured.where("linked and x <> p").select(F.col("x").alias("a"), F.col("p").alias("b")))
-        shells = _shells(measured.where("x <> p"), delta, ["region", "p"])
-        was = measured.groupBy("region", "p").agg(F.max("was").alias("was"), F.max(F.floor(F.col("d") / (delta + 1e-9))).alias("top"))
-        was = was.select(F.explode(F.expr("transform(sequence(0L, top + 1), s -> struct(xxhash64(region, p, s) as r, was))")).alias("w")).select(F.col("w.r").alias("_r"), "w.was")
-        regions = shells.join(was, F.col("region") == F.col("_r"), "left").drop("_r")
-    if more:
-        every = links
-        for m in more:
-            every = every.unionByName(m)
-        groups = connected_components(every)
-
-    least = sketch.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"))
-    tied = least.join(groups, F.col("cls") == F.col("node"))
+    several = _candidates(parts, sketch)
+    regions = connected_components(several.where("cls <> p").select(F.col("cls").alias("a"), F.col("p").alias("b")))
+    drop_staged(several)
+    wanted = sketch.where("cls is not null and id is not null").join(regions, F.col("cls") == F.col("node")).groupBy("cls").agg(F.min("id").alias("id"), F.max("n").alias("size"), F.max("component").alias("region"))
+    wanted = staged(wanted)
+    sets = staged(_sets(docs, text, key, size, wanted.select("id", "cls")))
+    groups = _links(wanted, sets, num, den, buckets)
+    drop_staged(sets, wanted, regions)
+
+    least = sketch.where("cls is not null").groupBy("cls").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    tied = staged(least.join(groups, F.col("cls") == F.col("node"), "left").where("copies > 1 or component is not null").select("cls", "least", F.coalesce("component", "cls").alias("component")))
     top = tied.groupBy(F.col("component").alias("top")).agg(F.min("least").alias("least_of"))
-    named = staged(tied.join(top, F.col("component") == F.col("top")).select("cls", F.col("least_of").alias("component")))
-    named = least.join(named.withColumnRenamed("cls", "_c"), F.col("cls") == F.col("_c"), "left").select(F.col("cls").alias("_cls"), F.coalesce("component", "least").alias("component"))
+    named = staged(tied.join(top, F.col("component") == F.col("top")).select(F.col("cls").alias("_cls"), F.col("least_of").alias("component")))
+    drop_staged(tied, groups)
     out = sketch.select("id", "n", "cls").join(named, F.col("cls") == F.col("_cls"), "left")
     return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component"))
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
-    """Rows of regions that pivots can't split, dealt into blocks of about LEAF sets; each pair of blocks is a region of its own, so no task holds a whole one."""
-    n = F.ceil(F.col("n") / LEAF).cast("int")
-    dealt = rows.withColumn("_n", n).withColumn("_b", F.pmod(F.xxhash64("x", "own"), F.col("_n")).cast("int"))
-    dealt = dealt.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    i, j = F.least("_b", "_o"), F.greatest("_b", "_o")
-    return dealt.withColumn("region", F.xxhash64("region", i, j)).withColumn("side", F.when(F.col("_b") != F.col("_o"), (F.col("_b") < F.col("_o")).cast("int"))).drop("_n", "_b", "_o")
+def _links(wanted: DataFrame, sets: DataFrame, num: int, den: int, buckets: int) -> DataFrame:
+    """(node, component) of the classes in wanted (cls, size, region) that links tie together."""
+    delta = 1 - num / den
+    volume = 8 * (wanted.agg(F.sum("size")).first()[0] or 0)
+    buckets = max(buckets, volume // BUCKET)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = wanted.select("region", F.col("cls").alias("x"), "size", F.lit(BOTH).alias("role"), none("bigint").alias("was"), none("array<double>").alias("d"))
+    groups = None
+    fits = lambda n: (F.col(n) <= LEAF) & (F.col("bytes") * F.col(n) <= F.col("n") * LEAF_BYTES)
+    for step in range(2 * MAX_LEVELS + 1):
+        busy = staged(_busy(rows, groups))
+        over = step == 2 * MAX_LEVELS
+        leaf = fits("n")
+        stuck = (fits("askers") | (F.col("n") > STUCK * F.coalesce("was", F.lit(1 << 62))) | F.lit(over)) & ~leaf
+        n_leaf, n_stuck, n_large = (int(v or 0) for v in busy.agg(F.sum(leaf.cast("int")), F.sum(stuck.cast("int")), F.sum((~leaf & ~stuck).cast("int"))).first())
+        found = []
+        if n_leaf:
+            found.append(staged(_join_leaves(busy.where(leaf).select("region", "x", "role", "comp"), sets, num, den, buckets)))
+        if n_stuck:
+            found.append(staged(_join_leaves(_blocks(busy.where(stuck)), sets, num, den, buckets)))
+        large, passed = busy.where(~leaf & ~stuck), None
+        if n_large and step % 2 == 0:
+            passed = _measured(large.select("region", "x", "size", "n", "bytes"), sets, num, den, step)
+            found.append(passed.select(F.col("x").alias("a"), F.explode("links").alias("b")))
+            rows = large.select(F.col("region").alias("_r"), F.col("x").alias("_x"), "role", "was").join(passed, (F.col("_r") == F.col("region")) & (F.col("_x") == F.col("x"))).select("region", "x", "size", "role", "was", "d")
+        elif n_large:
+            rows = _cells(large, delta)
+        if found:
+            every = found[0].select("a", "b")
+            for f in found[1:]:
+                every = every.unionByName(f.select("a", "b"))
+            if groups is not None:
+                every = every.unionByName(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+            groups = connected_components(every)
+        if not n_large:
+            break
+        rows = staged(rows)
+        drop_staged(busy, *([passed] if passed is not None else []))
+    if groups is None:
+        return wanted.select(F.col("cls").alias("node"), F.col("cls").alias("component")).where("false")
+    return groups
 
 
 def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = 5, num: int = 80, den: int = 100) -> DataFrame:
