@@ -149,7 +149,7 @@ def _shared_parts(sketch: DataFrame, buckets: int) -> DataFrame:
 def _candidates(parts: DataFrame, sketch: DataFrame) -> DataFrame:
     """(sig, cls, p) of the classes that share as many parts as a linked one must, with another such class; p is the least class of a part. Of each class the most frequent parts are left out that can't be all it shares with a linked one."""
     need = [sketch.where(f"need{k} is not null").groupBy(F.col("cls").alias("_cls")).agg(F.max(f"need{k}").alias("need")).withColumn("_bit", F.lit(k).cast("long")) for k in (0, 1)]
-    need = need[0].unionByName(need[1])
+    need = need[0].unionByName(need[1])  # this and the lists below grow with the documents, so none is ever broadcast
     bit = F.col("sig").bitwiseAND(F.lit(1).cast("long"))
 
     def several(df: DataFrame) -> DataFrame:
@@ -160,13 +160,13 @@ def _candidates(parts: DataFrame, sketch: DataFrame) -> DataFrame:
     found = staged(several(named))
     drop_staged(parts)
     for _ in range(ROUNDS):
-        able = found.groupBy("cls", bit.alias("bit")).agg(F.count(F.lit(1)).alias("held")).join(need, (F.col("cls") == F.col("_cls")) & (F.col("bit") == F.col("_bit"))).where("held >= need").select(F.col("cls").alias("_c"), "_bit", "need")
+        able = found.groupBy("cls", bit.alias("bit")).agg(F.count(F.lit(1)).alias("held")).join(need.hint("merge"), (F.col("cls") == F.col("_cls")) & (F.col("bit") == F.col("_bit"))).where("held >= need").select(F.col("cls").alias("_c"), "_bit", "need")
         able = staged(able)
-        left = staged(several(found.select("sig", "cls").join(able.drop("need"), (F.col("cls") == F.col("_c")) & (bit == F.col("_bit")), "left_semi")))
+        left = staged(several(found.select("sig", "cls").join(able.drop("need").hint("merge"), (F.col("cls") == F.col("_c")) & (bit == F.col("_bit")), "left_semi")))
         drop_staged(found)
         found = left
     order = Window.partitionBy("cls", "_bit").orderBy(F.desc("often"), "sig")
-    ranked = found.join(able, (F.col("cls") == F.col("_c")) & (bit == F.col("_bit"))).withColumn("_rank", F.row_number().over(order))
+    ranked = found.join(able.hint("merge"), (F.col("cls") == F.col("_c")) & (bit == F.col("_bit"))).withColumn("_rank", F.row_number().over(order))
     left = staged(several(ranked.where("_rank >= need").select("sig", "cls")))
     drop_staged(found)
     return left
@@ -274,7 +274,7 @@ def _join_leaves(rows: DataFrame, sets: DataFrame, num: int, den: int, buckets:
             links += [(int(x[k[i]]), int(x[k[j]])) for i, j in forest(ok)]
         return pa.table({"a": pa.array([a for a, _ in links], pa.int64()), "b": pa.array([b for _, b in links], pa.int64())})
 
-    full = rows.join(sets, F.col("x") == F.col("cls")).select(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket"), "region", "x", "role", "comp", "members")
+    full = rows.hint("merge").join(sets, F.col("x") == F.col("cls")).select(F.pmod(F.xxhash64("region"), F.lit(buckets)).alias("bucket"), "region", "x", "role", "comp", "members")
     return full.groupBy("bucket").applyInArrow(run, "a bigint, b bigint")
 
 
@@ -298,7 +298,7 @@ def _measured(rows: DataFrame, sets: DataFrame, num: int, den: int, level: int)
     draw = F.xxhash64("x", F.lit(level))
     first = rows.groupBy(F.col("region").alias("_r")).agg(F.min(draw).alias("_least"), F.max(F.greatest(F.ceil(F.col("n") / (2 * LEAF)), F.ceil(F.col("bytes") / LEAF_BYTES))).cast("int").alias("chunks"))
     dealt = rows.join(first, F.col("region") == F.col("_r"))
-    full = staged(dealt.join(sets, F.col("x") == F.col("cls")).select("region", "x", "size", "chunks", (F.pmod(draw, F.col("n")) < PIVOTS).alias("pivot") | (draw == F.col("_least")), "members").toDF("region", "x", "size", "chunks", "pivot", "members"))
+    full = staged(dealt.hint("merge").join(sets, F.col("x") == F.col("cls")).select("region", "x", "size", "chunks", (F.pmod(draw, F.col("n")) < PIVOTS).alias("pivot") | (draw == F.col("_least")), "members").toDF("region", "x", "size", "chunks", "pivot", "members"))
     pivots = full.where("pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("region", "chunk", "x", "members")
 
     def measure(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -191,3 +191,66 @@ def test_pruning_loses_no_hit():
             theirs = {tuple(held[j : j + n]) for j in range(len(held) - n + 1)}
             good = score.get(p, 0) >= decontam.LEAST and len(own & theirs) >= 0.8 * len(own) and all(len(x & {*held}) >= 0.8 * len(x) for x in (q, a) if x)
             assert (p in found) == good and (not good or abs(found[p] - score[p]) < 1e-9)
+
+
+def test_cells_and_blocks_of_large_regions(make, monkeypatch):
+    """Small leaves make regions large: they are measured against pivots, fall into cells, and cells that stay large into blocks."""
+    rng = random.Random(11)
+    rows = [(1000 * b + i, t) for b in range(3) for i, t in edited(20 + b, 40)[:40]]
+    base = rows[0][1].split()
+    rows += [(9000 + i, " ".join([*base[: 110 - 4 * i], *(f"c{rng.randrange(9999)}" for _ in range(4 * i))])) for i in range(25)]  # a chain: neighbours are near, ends far apart
+    for pivots, stuck in ((4, 0.9), (3, 0.1)):
+        for name, value in (("LEAF", 5), ("PIVOTS", pivots), ("STUCK", stuck)):
+            monkeypatch.setattr(jaccard, name, value)
+        used = []
+        for name in ("_cells", "_blocks", "_measured"):
+            monkeypatch.setattr(jaccard, name, lambda *a, f=getattr(jaccard, name), n=name: (used.append(n), f(*a))[1])
+        got = jaccard.near_classes(make(rows), size=4, num=70, den=100).collect()
+        assert sorted((str(r["id"]), r["n"], str(r["component"])) for r in got) == slow_components(rows, 4, 70, 100)
+        assert {*used} >= {"_cells", "_measured"}
+
+
+def test_groups_across_boundaries(make, monkeypatch):
+    """Every shared anchor is dealt by windows; one window that very many documents have is a splitter several times over, and its group lies in several buckets."""
+    common = "the quick brown fox jumps over the lazy dog and never looks back at the hedge"
+    rng = random.Random(12)
+    noise = lambda: "".join(rng.choice("abcdefgh ") for _ in range(30))
+    rows = [(k, noise() + common + noise()) for k in range(200, 0, -1)]
+    used = []
+    monkeypatch.setattr(suffixes, "HOT", 1)
+    monkeypatch.setattr(suffixes, "FLUSH", 1000)  # many portions, so that many records of one string move
+    monkeypatch.setattr(suffixes, "_across", lambda found, f=suffixes._across: (used.append(found.where("string is not null").groupBy("string").count().agg({"count": "max"}).first()[0]), f(found))[1])
+    got = suffixes.drop_repeated_bytes(make(rows, 8)).drop("kept").collect()
+    assert sorted((str(r[0]), *tuple(r)[1:]) for r in got) == slow_bytes(rows)
+    assert used and used[0] > 1  # some string is in several buckets
+
+
+def test_suffix_order():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    raw = rng.integers(97, 99, 3000).astype(np.uint8)
+    raw = np.concatenate([raw, raw[:500]])
+    begin = np.arange(len(raw) - 50)
+    for length in (50, 24):
+        order, new = suffixes.suffix_order(raw, begin, length)
+        found = [raw.tobytes()[k : k + length] for k in begin[order]]
+        assert found == sorted(found) and new.tolist() == [True, *(a != b for a, b in zip(found, found[1:], strict=False))]
+
+
+def test_enough_parts_are_shared():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for size in (8, 30, 200, 2000):
+        x = np.unique(rng.integers(0, 2**64, size, np.uint64))
+        for _ in range(20):
+            y = np.unique(np.concatenate([rng.permutation(x)[int(size * 0.08) :], rng.integers(0, 2**64, int(size * 0.07), np.uint64)]))
+            both, either = jaccard.overlap(x, y)
+            if not 85 * either <= 100 * both < 100 * either:
+                continue
+            (a, need), (b, also) = (jaccard.shared_parts(h, 85, 100) for h in (x, y))
+            common = [0, 0]
+            for sig in {*a.tolist()} & {*b.tolist()}:
+                common[sig & 1] += 1
+            assert any(n is not None and m is not None and c >= max(n, m) for n, m, c in zip(need, also, common, strict=True))
