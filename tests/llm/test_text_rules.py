@@ -95,3 +95,41 @@ def test_repeated_lines_against_brute_force(make, rows):
 def test_line_digest_of_one_row(make):
     r = lines.digest(make([(3, "a\nb\nc\nd\na\nb\nc")])).first()
     assert tuple(r) == (3, 7, 3, hashlib.sha256(b"a\nb\nc\nd").hexdigest())
+
+
+def slow_added(text):
+    """The added kinds by plain Python: (kind, start, end, score)."""
+    digits = lambda m: [int(c) for c in m if c.isdigit()]
+    number = lambda m: "".join(c if c.isdigit() else str(ord(c) - 55) for c in (m.replace(" ", "")[4:] + m.replace(" ", "")[:4]))
+    ok = {
+        "iban": lambda m: 15 <= len(m.replace(" ", "")) <= 34 and int(number(m)) % 97 == 1,
+        "dni": lambda m: "TRWAGMYFPDXBNJZSQVHLCKE"[int(m[:8]) % 23] == m[-1],
+        "ssn": lambda m: not (m[:3] in ("000", "666") or m[0] == "9" or m[4:6] == "00" or m[-4:] == "0000"),
+        "nhs": lambda m: sum(d * (10 - k) for k, d in enumerate(digits(m))) % 11 == 0,
+        "aba": lambda m: sum(d * (3, 7, 1)[k % 3] for k, d in enumerate(digits(m))) % 10 == 0,
+    }
+    out = []
+    for kind in pii.PATTERNS:
+        if kind in ok:
+            for m in re.finditer(pii.PATTERNS[kind], text):
+                around = (text[max(0, m.start() - pii.REACH) : m.start()] + " " + text[m.end() : m.end() + pii.REACH]).lower()
+                score = pii.SCORE[kind] + (pii.NEAR if re.search(rf"(?<![a-z0-9])({pii.CONTEXT[kind]})(?![a-z0-9])", around) else 0)
+                if ok[kind](m[0]) and score >= pii.LEAST:
+                    out.append((kind, m.start(), m.end(), round(score, 3)))
+    return sorted(out)
+
+
+def test_added_kinds_against_plain_patterns(make):
+    texts = [
+        "routing 021000021 and 021000022", "number 021000021", "NHS 943 476 5919, patient 9434765918", "943 476 5919", "dni 12345678Z 12345678A 00000000-T", "my ssn: 219-09-9999 or 000-12-3456", "code 219-09-9999",
+        "hotel shipping discard 219-09-9999 antisocial", "iban GB82 WEST 1234 5698 7654 32 DE89370400440532013000", "x" * 5000 + " bank 121000358 " + "y" * 5000,
+    ]
+    got = {r["text"]: sorted((s["kind"], s["start"], s["end"], round(s["score"], 3)) for s in r["spans"] if s["no"] > 3) for r in pii.find_spans(make(texts)).select("text", "spans").collect()}
+    assert got == {t: slow_added(t) for t in texts}
+    assert [len(got[t]) for t in texts] == [1, 0, 1, 0, 2, 1, 0, 0, 2, 1]  # context words decide about rows
+
+
+def test_context_words_are_whole(make):
+    texts = ["shipping 10.1.1.1", "ip 10.1.1.1", "hotel +44 20 7946 0958", "tel +44 20 7946 0958"]
+    got = {r["text"]: r["spans"][0]["score"] for r in pii.find_spans(make(texts)).select("text", "spans").collect()}
+    assert [round(got[t], 1) for t in texts] == [0.6, 0.8, 0.6, 0.8]
