@@ -16,6 +16,8 @@ DIM = 1 << 15
 SAMPLE = 4000
 EPOCHS, ALPHA, BETA, L1, L2, SCALE = 4, 0.5, 1.0, 0.002, 0.01, 40.0
 UNDETERMINED = "und"
+#: Texts with more characters are profiled in chunks, so that memory doesn't grow with a text's n-grams.
+LONG = 1 << 18
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 _LETTER = np.array([chr(c).isalpha() for c in range(0x10000)])
 
@@ -44,6 +46,21 @@ def grams(text: str) -> tuple[np.ndarray, bool]:
     return ((every * _MIX[0]) >> shift).astype(np.int32), True
 
 
+def profile(text: str) -> tuple[np.ndarray, bool]:
+    """How often each n-gram occurs in a whole text (DIM counts), and whether it has a letter; a long text is read LONG characters at a time."""
+    text, total, has = text.lower(), np.zeros(DIM, np.int64), False
+    for at in range(0, len(text), LONG):
+        ids, letters = grams(text[at : at + LONG + 2])
+        if letters:
+            total += np.bincount(ids, minlength=DIM)
+        has |= letters
+        if at:  # what lies in the two characters shared with the chunk before was counted there
+            shared, letters = grams(text[at : at + 2])
+            if letters:
+                total -= np.bincount(shared, minlength=DIM)
+    return total, has
+
+
 @dataclass
 class Model:
     classes: list[str]
@@ -52,10 +69,12 @@ class Model:
     temperature: float
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        ids, has = grams(text or "")
+        long = len(text or "") > LONG
+        found, has = profile(text) if long else grams(text or "")
         if not has or not self.classes:
             return UNDETERMINED, 0.0
-        z = (self.table[ids].sum(0, dtype=np.float64) * (SCALE / len(ids)) + self.bias) / self.temperature
+        summed, n = (found @ self.table, int(found.sum())) if long else (self.table[found].sum(0, dtype=np.float64), len(found))
+        z = (summed * (SCALE / n) + self.bias) / self.temperature
         p = np.exp(z - z.max())
         k = int(p.argmax())
         return self.classes[k], float(p[k] / p.sum())
@@ -111,7 +130,8 @@ def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for t in batch.column(0):
             seen = np.zeros(DIM, bool)
-            seen[grams(t.as_py())[0]] = True
+            text = t.as_py()
+            seen[np.flatnonzero(profile(text)[0]) if len(text) > LONG else grams(text)[0]] = True
             total += seen
             docs += 1
     at = np.flatnonzero(total)
@@ -122,7 +142,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, counts = [], []
         for t in batch.column(3):
-            f, c = np.unique(grams(t.as_py())[0], return_counts=True)
+            held = profile(t.as_py())[0]
+            f = np.flatnonzero(held)
+            c = held[f]
             ids.append(f.astype(np.int32))
             counts.append(c.astype(np.int32))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))], names=["lang", "bucket", "rank", "ids", "counts"])
@@ -161,7 +183,10 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs without text plus lang_pred and score. Null text, or one without a letter, is undetermined with score 0."""
+    """docs without text plus lang_pred and score. Null text, or one without a letter, is undetermined with score 0; of equally likely languages the first by name wins.
+
+    Rows are judged one by one: repeated ones get equal results, null ids stay null, an empty table gives an empty result.
+    """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     keep = [c for c in docs.columns if c not in (text, "lang_pred", "score")]

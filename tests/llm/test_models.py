@@ -94,3 +94,45 @@ def test_temperature_is_found():
     p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
     k = np.array([rng.choice(3, p=x) for x in p])
     assert abs(langid.temperature(z * 5, k) - 5) < 0.5 and langid.temperature(np.zeros((0, 3)), np.zeros(0, int)) == 1.0
+
+
+def test_long_texts_are_profiled_in_chunks(monkeypatch):
+    rng = np.random.default_rng(4)
+    text = "".join(rng.choice(list("abcé 𝄞 .x"), 3000))
+    ids, has = langid.grams(text)
+    model = langid.Model(["a", "b"], rng.standard_normal((langid.DIM, 2)).astype(np.float32), np.zeros(2), 1.0)
+    whole = model.predict(text)
+    for size in (1, 2, 3, 7, 1000, 2999):
+        monkeypatch.setattr(langid, "LONG", size)
+        found, also = langid.profile(text)
+        assert has == also and (found == np.bincount(ids, minlength=langid.DIM)).all()
+        assert model.predict(text)[0] == whole[0] and abs(model.predict(text)[1] - whole[1]) < 1e-5
+
+
+def test_learner_against_plain_updates():
+    """FTRL-proximal as its paper has it, one weight at a time."""
+    rng = np.random.default_rng(2)
+    rows = [(int(k), np.array([int(k), 5 + int(rng.integers(0, 4))]), rng.random(2)) for k in rng.integers(0, 3, 40)]
+    w, bias = langid.train(rows, 3, 2)
+    z, n, zb, nb = {}, {}, [0.0] * 3, [0.0] * 3
+
+    def weight(z_, n_, l1):
+        return 0.0 if abs(z_) <= l1 else -(z_ - np.sign(z_) * l1) / ((langid.BETA + n_**0.5) / langid.ALPHA + langid.L2)
+
+    for _ in range(2):
+        for k, at, x in rows:
+            have = {(f, c): weight(z.get((f, c), 0.0), n.get((f, c), 0.0), langid.L1) for f in at.tolist() for c in range(3)}
+            b = [weight(zb[c], nb[c], 0.0) for c in range(3)]
+            s = [sum(v * have[f, c] for f, v in zip(at.tolist(), x.tolist(), strict=True)) + b[c] for c in range(3)]
+            e = [np.exp(v - max(s)) for v in s]
+            for c in range(3):
+                g0 = e[c] / sum(e) - (c == k)
+                for f, v in zip(at.tolist(), x.tolist(), strict=True):
+                    g, old = v * g0, n.get((f, c), 0.0)
+                    z[f, c] = z.get((f, c), 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / langid.ALPHA * have[f, c]
+                    n[f, c] = old + g * g
+                zb[c] += g0 - ((nb[c] + g0 * g0) ** 0.5 - nb[c] ** 0.5) / langid.ALPHA * b[c]
+                nb[c] += g0 * g0
+    for (f, c), v in z.items():
+        assert abs(w[f, c] - weight(v, n[f, c], langid.L1)) < 1e-9
+    assert all(abs(bias[c] - weight(zb[c], nb[c], 0.0)) < 1e-9 for c in range(3))
