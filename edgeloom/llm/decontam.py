@@ -121,13 +121,16 @@ class Index:
         go = np.bincount(passage, self.most[term], n) >= LEAST
         on = go[passage]
         passage, term = passage[on], term[on]
+        # sums are kept for the (passage, block) pairs that occur, so memory follows the postings that are read, not passages times blocks
         p, block, bound = _expand(self.top, passage, term)
-        total = np.bincount(p * self.n_blocks + block, bound, n * self.n_blocks)
-        opened = total >= LEAST - 1e-9
-        busy = opened.reshape(n, self.n_blocks).any(1)
+        met, where = np.unique(p * self.n_blocks + block, return_inverse=True)
+        opened = met[np.bincount(where, bound, len(met)) >= LEAST - 1e-9]
+        busy = np.zeros(n, bool)
+        busy[opened // max(1, self.n_blocks)] = True
         on = busy[passage]
         p, part, share = _expand(self.post, passage[on], term[on])
-        on = opened[p * self.n_blocks + part // BLOCK]
+        at = np.searchsorted(opened, p * self.n_blocks + part // BLOCK)
+        on = np.concatenate([opened, [-1]])[at] == p * self.n_blocks + part // BLOCK
         key, where = np.unique(p[on] * len(self.parts) + part[on], return_inverse=True)
         score = np.bincount(where, share[on], len(key)) if len(key) else np.zeros(0)
         out, joint = [], {}
