@@ -123,6 +123,7 @@ def parents(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFr
 
 def bfs(edges: DataFrame, sources: DataFrame, max_levels: int = 1000) -> DataFrame:
     """(id, level, parent) of every vertex reached; a table a level, so lineage stays short."""
+    edges = staged(edges.select("src", "dst"))
     front = staged(sources.select("id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")))
     seen = front
     for level in range(1, max_levels + 1):
@@ -135,7 +136,7 @@ def bfs(edges: DataFrame, sources: DataFrame, max_levels: int = 1000) -> DataFra
 
 def components(edges: DataFrame, vtx: DataFrame, max_rounds: int = 100) -> DataFrame:
     """(id, component): the least id of each connected component. Labels take their neighbours' least and then their label's label."""
-    labels = staged(vtx.select("id", F.col("id").alias("label")))
+    edges, labels = staged(edges.select("src", "dst")), staged(vtx.select("id", F.col("id").alias("label")))
     for _ in range(max_rounds):
         near = edges.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("_d")).agg(F.min("label").alias("_near"))
         low = labels.join(near, F.col("id") == F.col("_d"), "left").select("id", F.col("label").alias("old"), F.least("label", "_near").alias("label"))
@@ -148,18 +149,21 @@ def components(edges: DataFrame, vtx: DataFrame, max_rounds: int = 100) -> DataF
 
 
 def spanning_forest(edges: DataFrame, vtx: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(src, dst) with src < dst: in each round every component takes its least arc to another one (by (src, dst)); components then merge."""
+    """(src, dst) with src < dst: in each round every component takes its least arc to another one (by (src, dst)); the components that these arcs join then merge."""
     ordered = staged(edges.where("src < dst").select("src", "dst").distinct())
     labels, forest = staged(vtx.select("id", F.col("id").alias("component"))), None
     for _ in range(max_rounds):
         a, b = (labels.select(F.col("id").alias(f"_{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
-        cross = ordered.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).where("ca <> cb").select("src", "dst", "ca", "cb")
-        both = cross.select(F.col("ca").alias("c"), F.struct("src", "dst").alias("e")).unionByName(cross.select(F.col("cb").alias("c"), F.struct("src", "dst").alias("e")))
-        taken = staged(both.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
+        cross = staged(ordered.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).where("ca <> cb").select(F.struct("src", "dst", "ca", "cb").alias("e")))
+        ends = cross.select(F.col("e.ca").alias("c"), "e").unionByName(cross.select(F.col("e.cb").alias("c"), "e"))
+        taken = staged(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
         if taken.isEmpty():
-            return forest if forest is not None else taken
-        forest = taken if forest is None else forest.unionByName(taken)
-        labels = staged(components(forest.unionByName(transpose(forest)), vtx))
+            return forest if forest is not None else taken.select("src", "dst")
+        forest = taken.select("src", "dst") if forest is None else forest.unionByName(taken.select("src", "dst"))
+        links = symmetrize(taken.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
+        merged = components(links, vertices(links)).withColumnRenamed("component", "into").withColumnRenamed("id", "_c")
+        labels = staged(labels.join(merged, F.col("component") == F.col("_c"), "left").select("id", F.coalesce("into", "component").alias("component")))
+        ordered = cross.select("e.src", "e.dst")
     raise RuntimeError("forest did not settle")
 
 
@@ -216,6 +220,18 @@ def k_core_numbers(edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
     raise RuntimeError("peeling did not end")
 
 
+def edge_map_reduce_dense(edges: DataFrame, vtx: DataFrame, cond: Column, value: Column, zero) -> DataFrame:
+    """(id, v): for every vertex that meets cond the sum of value over all its in-arcs, zero without any; arcs into others don't reach the shuffle of sums."""
+    wanted = vtx.where(cond).select("id")
+    sums = edges.join(wanted.select(F.col("id").alias("_w")), F.col("dst") == F.col("_w"), "left_semi").groupBy(F.col("dst").alias("_d")).agg(F.sum(value).alias("_v"))
+    return wanted.join(sums, F.col("id") == F.col("_d"), "left").select("id", F.coalesce("_v", F.lit(zero)).alias("v"))
+
+
+def ith_neighbour(edges: DataFrame, i: int) -> DataFrame:
+    """(src, dst): the out-neighbour at place i of every vertex that has so many, in the order of ids."""
+    return edges.withColumn("_n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("_n") == i + 1).select("src", "dst")
+
+
 def next_bucket(buckets: DataFrame, name: str = "bucket", increasing: bool = True) -> int:
     """The next non-empty bucket."""
     return buckets.agg(F.min(name) if increasing else F.max(name)).first()[0]

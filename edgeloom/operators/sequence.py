@@ -209,3 +209,31 @@ def collect_reduce(values: DataFrame, key: str, value: Column, buckets: int | No
     if buckets is None:
         return sums
     return values.sparkSession.range(buckets).join(sums, F.col("id") == F.col("k"), "left").select(F.col("id").alias("k"), F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def lower_bound(seq: DataFrame, probes: DataFrame) -> DataFrame:
+    """(q, at): for each probe (q, v) the number of lesser elements, which is its place in the sorted sequence: one order of both and a running count, no probe searches alone."""
+    none = F.lit(None).cast(probes.schema["q"].dataType)
+    both = probes.select("q", "v", F.lit(0).alias("n")).unionByName(seq.select(none.alias("q"), "v", F.lit(1).alias("n")))
+    placed = indexed(both, "v", "n", "q")
+    before = scan(placed.select("idx", F.col("n").alias("v")), "sum").select(F.col("idx").alias("_i"), F.col("s").alias("at"))
+    return placed.where("n = 0").join(before, F.col("idx") == F.col("_i")).select("q", "at")
+
+
+def remove_duplicates_ordered(seq: DataFrame) -> DataFrame:
+    """(idx, v): the first of equal elements at its place, in the order of values."""
+    return seq.groupBy("v").agg(F.min("idx").alias("idx")).select("idx", "v")
+
+
+def heavy_hitters(values: DataFrame, key: str, share: float) -> DataFrame:
+    """(key, n) of the keys that make up share of all rows or more; counts combine before the shuffle, at most 1 / share rows come out."""
+    n = values.count()
+    return values.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= n * share)
+
+
+def upsert(table: DataFrame, rows: DataFrame, combine) -> DataFrame:
+    """(key, v): table with every row of rows inserted, combine(old, new) where the key is there; rows have distinct keys."""
+    new = rows.select(F.col("key").alias("_k"), F.col("v").alias("_v"))
+    both = table.join(new, F.col("key") == F.col("_k"), "full")
+    value = F.when(F.col("key").isNull(), F.col("_v")).when(F.col("_k").isNull(), F.col("v")).otherwise(combine(F.col("v"), F.col("_v")))
+    return both.select(F.coalesce("key", "_k").alias("key"), value.alias("v"))

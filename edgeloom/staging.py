@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -11,20 +12,31 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a fresh folder where that is unset."""
+    """spark.checkpoint.dir; only where everything runs on one machine may it be unset, and is a fresh folder then."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
         found = held.get() if held.isDefined() else None
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="edgeloom-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: While this is set, Spark deletes a query's shuffle files when the query ends; a staged table is never computed again, so none of them is missed.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def staged(df: DataFrame) -> DataFrame:
-    """Write df and read it back: the plan that follows starts from a table, whatever happens to executors."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    """Write df and read it back: the plan that follows starts from a table, whatever happens to executors, and the shuffles behind it are freed."""
+    conf = df.sparkSession.conf
+    path, held = f"{shared_dir(df.sparkSession)}/staged-{uuid.uuid4().hex}", conf.get(_CLEANUP, "false")
+    conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(_CLEANUP, held)
     return df.sparkSession.read.schema(df.schema).parquet(path)

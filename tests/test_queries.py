@@ -1,6 +1,6 @@
 import pytest
 
-from edgeloom import queries
+from edgeloom import queries, queries_more  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
