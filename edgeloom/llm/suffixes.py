@@ -233,7 +233,7 @@ def _splitters(found: DataFrame, hot: np.ndarray, buckets: int) -> tuple[np.ndar
     drawn = found.where("kind = 3 and octet_length(prints) > 0").select("prints").orderBy(F.xxhash64("prints")).limit(SAMPLES).collect()
     drawn = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(r[0], "<u8") for r in drawn)]).reshape(-1, 2 + len(WORDS))
     windows = np.ascontiguousarray(drawn[:, 2:].astype(">u8"))
-    raw = windows.view(np.uint8).reshape(len(drawn), -1)
+    raw = windows.view(np.uint8).reshape(len(drawn), 8 * len(WORDS))
     lead = np.zeros(len(drawn), np.uint64)
     for k in range(8):  # the words lie end to end, but for the last that begins 42 bytes in; anchors begin 26 bytes in at most
         lead = (lead << np.uint64(8)) | raw[np.arange(len(drawn)), drawn[:, 1].astype(np.int64) + k]
