@@ -200,12 +200,6 @@ def bfs_levels(spark, sf):
     return g.bfs(e, e.agg(F.min("src").alias("id")))
 
 
-@query(f"with recursive {G6}, r(id, root) as (select p_partkey, p_partkey from part where p_partkey <= 60 union select e.dst, r.root from r join e on e.src = r.id ) select id, component from (select p_partkey as id, coalesce((select min(root) from r where r.id = p_partkey), p_partkey) as component from part) where component <= 60")
-def connected_components_low(spark, sf):
-    """Components whose least member is small, as the recursive SQL for all of them is too slow."""
-    return g.components(parts_together(spark, sf), parts(spark, sf)).where("component <= 60")
-
-
 @query()
 def connected_components(spark, sf):
     return g.components(parts_together(spark, sf), parts(spark, sf))
@@ -358,12 +352,6 @@ def max_contiguous_sum(spark, sf):
     return q.max_subsequence(amounts(spark, sf).select("idx", (F.col("v") - 5000).alias("v")))
 
 
-@query(f"with {SEQ}, w as (select k as q, k * 7 as i, k * 7 + 90 + k % 500 as j from range(0, 40) x(k)) select q, arg_min(idx, (v, idx)) as idx from w join s on idx between i and j group by 1")
-def range_min(spark, sf):
-    w = spark.range(40).select(F.col("id").alias("q"), (F.col("id") * 7).alias("i"), (F.col("id") * 7 + 90 + F.col("id") % 500).alias("j"))
-    return q.range_min(amounts(spark, sf), w, 64)
-
-
 @query(f"with {SEQ}, n as (select count(*) as n from s), w as (select k as q, k * n // 80 as i, n - 1 - k * n // 80 as j from range(0, 40) x(k), n) select q, arg_min(idx, (v, idx)) as idx from w join s on idx between i and j group by 1")
 def range_min_whole(spark, sf):
     """Windows over the whole sequence, the first of all of it."""
@@ -505,19 +493,6 @@ def tokens_wordcount(spark, sf):
     return strings.tokens(t(spark, sf, "documents"), "doc_id", "text").groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-_SUF = "x as (select doc_id, regexp_replace(substr(text, 1, 64), '[^ -~]', '?', 'g') as s from documents), u as (select doc_id, s, unnest(range(0, length(s))) as start from x), r as (select doc_id, start, substr(s, start + 1) as suffix, row_number() over (partition by doc_id order by substr(s, start + 1)) - 1 as rank from u)"
-
-
-def _heads(spark, sf):
-    return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.regexp_replace(F.substring("text", 1, 64), "[^ -~]", "?").alias("s"))
-
-
-@query(f"with {_SUF} select doc_id as id, rank, start from r")
-def suffix_array_heads(spark, sf):
-    """The first 64 characters only, which is what its SQL can do; suffix_array has the whole texts."""
-    return strings.suffix_array(_heads(spark, sf))
-
-
 def _texts(spark, sf):
     return t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("s"))
 
