@@ -12,7 +12,7 @@ from .operators import graph as g
 from .operators import sequence as q
 from .plans import linalg as la
 from .queries import G1, G6, SEQ, amounts, part_supplier, parts, parts_together, query, t
-from .sources import adjacency, edges as edge_files, vectors
+from .sources import adjacency, compressed, edges as edge_files, vectors
 from .staging import shared_dir
 
 
@@ -53,6 +53,30 @@ def weighted_adjacency_file(spark, sf):
     return adjacency.read_adjacency(spark, path)[0]
 
 
+@query(f"with {G6} select src, dst from e")
+def compressed_file(spark, sf):
+    """A symmetric graph in the plain byte code."""
+    e, path = parts_together(spark, sf), _path(spark)
+    compressed.write_compressed(e, e.agg(F.max("src")).first()[0] + 1, path)
+    return compressed.read_compressed(spark, path)
+
+
+@query(f"with {TRADE} select src, dst, w from e")
+def weighted_compressed_file(spark, sf):
+    """A directed and weighted graph in counted runs."""
+    e, path = _trade(spark, sf), _path(spark)
+    compressed.write_compressed(e, e.agg(F.greatest(F.max("src"), F.max("dst"))).first()[0] + 1, path, "counted", "int")
+    return compressed.read_compressed(spark, path, "counted", "int")
+
+
+@query(f"with {TRADE} select src, dst from e")
+def incoming_compressed_file(spark, sf):
+    """The arcs that come in, of a directed graph in runs."""
+    e, path = _trade(spark, sf), _path(spark)
+    compressed.write_compressed(e, e.agg(F.greatest(F.max("src"), F.max("dst"))).first()[0] + 1, path, "blocks", directed=True)
+    return compressed.read_compressed(spark, path, "blocks", incoming=True)
+
+
 @query(f"with {TRADE}, u as (select src, dst from e where src <> dst) select src, dst from u union select dst, src from u")
 def edge_list_file(spark, sf):
     path = _path(spark)

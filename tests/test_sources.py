@@ -50,6 +50,58 @@ def test_compressed_graph(spark, tmp_path):
     assert rows(compressed.read_compressed(spark, str(tmp_path / "g.bin"))) == [(a, b) for a in sorted(near) for b in near[a]]
 
 
+def arcs(seed, n=900):
+    """A hub of more than nine runs, vertices of exactly 64 and 65 neighbours, and some without any."""
+    rng = np.random.default_rng(seed)
+    out = {(3, int(b)) for b in rng.choice(n, 600, replace=False)} | {(10, b) for b in range(64)} | {(11, b) for b in range(n - 65, n)}
+    return sorted(out | {(int(a), int(b)) for a, b in rng.integers(0, n, (300, 2)) if a % 5})
+
+
+@pytest.mark.parametrize("codec", compressed.CODECS)
+@pytest.mark.parametrize("weight", [None, "int", "float"])
+def test_codes_round_trip(spark, tmp_path, monkeypatch, codec, weight):
+    monkeypatch.setattr(compressed, "RANGE", 100)
+    monkeypatch.setattr(compressed, "SLICE", 300)
+    w = {None: lambda a, b: None, "int": lambda a, b: (a * 7919 + b) % 300_000 - 150_000, "float": lambda a, b: (a - b) / 8}[weight]
+    want = [(a, b, w(a, b)) if weight else (a, b) for a, b in arcs(1)]
+    e = spark.createDataFrame(want, "src long, dst long" + (f", w {compressed.WEIGHTS[weight]}" if weight else "")).repartition(5)
+    path = str(tmp_path / "g.bin")
+    compressed.write_compressed(e, 1000, path, codec, weight, directed=True)
+    assert rows(compressed.read_compressed(spark, path, codec, weight)) == want
+    assert rows(compressed.read_compressed(spark, path, codec, weight, incoming=True)) == want
+
+
+def test_plain_codes_are_the_same_bytes(spark, tmp_path):
+    near = {}
+    for a, b in arcs(2):
+        near.setdefault(a, []).append(b)
+    compressed.write_compressed(spark.createDataFrame(arcs(2), "src long, dst long"), 900, str(tmp_path / "g"))
+    assert (tmp_path / "g").read_bytes() == compressed.encode_graph(900, near)
+
+
+def test_runs_that_lost_neighbours(spark, tmp_path):
+    """130 neighbours are now 3, 0 and 1 in runs at their old places, with dead bytes after each."""
+    runs = [(0, [1, 2, 60]), (3, []), (3, [128])]
+    body, places = b"", []
+    for before, targets in runs:
+        places.append(4 + 8 + len(body))
+        body += np.uint32(before).tobytes() + compressed.encode_neighbours(7, targets) + b"\xff" * 5
+    code = np.uint32(130).tobytes() + np.array(places[1:], "<u4").tobytes() + body
+    n, at = 9, np.array([0] * 8 + [len(code)] * 2, "<i8")
+    degree = np.array([0] * 7 + [4, 0], "<u4")
+    (tmp_path / "g").write_bytes(np.array([n, 4, len(code)], "<i8").tobytes() + at.tobytes() + degree.tobytes() + code)
+    assert rows(compressed.read_compressed(spark, str(tmp_path / "g"), "counted")) == [(7, 1), (7, 2), (7, 60), (7, 128)]
+
+
+def test_codes_of_empty_graphs(spark, tmp_path):
+    none = spark.createDataFrame([], "src long, dst long")
+    for n in (0, 4):
+        compressed.write_compressed(none, n, str(tmp_path / f"g{n}"), "counted", directed=True)
+        assert rows(compressed.read_compressed(spark, str(tmp_path / f"g{n}"), "counted", incoming=True)) == []
+    with pytest.raises(ValueError):
+        compressed.read_compressed(spark, str(tmp_path / "g4"), "other")
+
+
 def test_vectors(spark, tmp_path):
     x = spark.createDataFrame([(1, [0.5, 2.0]), (0, [1.0, -1.0])], "id long, vec array<double>")
     vectors.write_raw(x, str(tmp_path / "v"))
