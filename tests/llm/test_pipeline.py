@@ -39,3 +39,31 @@ def test_stages_take_odd_and_empty_documents(spark, make, tmp_path):
     for df in (make(ODD), make(ODD).limit(0)):
         for _, stage in corpus_pipeline.STAGES:
             assert stage(spark, df, str(tmp_path)).count() <= df.count()
+
+
+def pairs(df):
+    return sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+
+
+def test_what_stages_make_of_odd_documents(spark, make, tmp_path):
+    from .conftest import ODD
+
+    spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").limit(0).write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs, stages = make(ODD), dict(corpus_pipeline.STAGES)
+    run = lambda name: stages[name](spark, docs, str(tmp_path))
+    assert run("quality_rules").count() == 0
+    cut = {5: "a\nb\nc", 11: ""}
+    got = run("line_dedup")
+    assert got.columns == docs.columns and pairs(got) == sorted([(i, cut.get(i, t)) for i, t in ODD], key=repr)
+    assert {r["doc_id"]: r["n_chars"] for r in got.collect() if r["doc_id"] in cut} == {5: 5, 11: 0}
+    assert pairs(run("near_duplicates")) == sorted([r for r in ODD if r[0] != 4], key=repr)
+    assert pairs(run("benchmark_leaks")) == sorted(ODD, key=repr)
+    last = run("segmentation").collect()
+    assert len(last) == len(ODD) and all(r["exact"] for r in last)
+
+
+def test_a_failing_host_takes_its_good_documents_along(spark, make):
+    good = " ".join(f"w{k}" for k in range(60))
+    rows = [(k, "too short", "en", "rotten") for k in range(40)] + [(100, good, "en", "rotten")] + [(200 + k, good, "en", f"h{k % 5}") for k in range(60)] + [(400, good, "en", None), (400, good, "en", None)]
+    got = corpus_pipeline.quality_rules(spark, make(rows), "")
+    assert sorted(r["doc_id"] for r in got.collect()) == [*range(200, 260), 400, 400]
