@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..staging import staged
+from ..staging import Pile, drop_staged, staged
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
@@ -121,50 +121,84 @@ def parents(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFr
     return out.join(visited.select(F.col("id").alias("_v")), F.col("id") == F.col("_v"), "left_anti").withColumnRenamed("value", "parent")
 
 
-def bfs(edges: DataFrame, sources: DataFrame, max_levels: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(id, level, parent) of every vertex reached; a table a level, so lineage stays short."""
     edges = staged(edges.select("src", "dst"))
-    front = staged(sources.select("id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("parent")))
-    seen = front
-    for level in range(1, max_levels + 1):
-        front = staged(parents(front.select("id"), edges, seen).select("id", F.lit(level).alias("level"), "parent"))
-        if front.isEmpty():
-            return seen
-        seen = seen.unionByName(front)
-    raise RuntimeError(f"not finished after {max_levels} levels")
-
-
-def components(edges: DataFrame, vtx: DataFrame, max_rounds: int = 100) -> DataFrame:
-    """(id, component): the least id of each connected component. Labels take their neighbours' least and then their label's label."""
-    edges, labels = staged(edges.select("src", "dst")), staged(vtx.select("id", F.col("id").alias("label")))
-    for _ in range(max_rounds):
-        near = edges.join(labels, F.col("src") == F.col("id")).groupBy(F.col("dst").alias("_d")).agg(F.min("label").alias("_near"))
-        low = labels.join(near, F.col("id") == F.col("_d"), "left").select("id", F.col("label").alias("old"), F.least("label", "_near").alias("label"))
-        up = low.select(F.col("id").alias("_i"), F.col("label").alias("_up"))
-        step = staged(low.join(up, F.col("label") == F.col("_i"), "left").select("id", "old", F.least("label", "_up").alias("label")))
-        labels = step.select("id", "label")
-        if step.where("label <> old").isEmpty():
-            return labels.select("id", F.col("label").alias("component"))
-    raise RuntimeError("components did not settle")
-
-
-def spanning_forest(edges: DataFrame, vtx: DataFrame, max_rounds: int = 100) -> DataFrame:
+    front = staged(sources.select("id", F.lit(0).alias("level"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
+    seen, level = Pile(front), 0
+    while not front.isEmpty():
+        level += 1
+        front = staged(parents(front.select("id"), edges, seen.all()).select("id", F.lit(level).alias("level"), "parent"))
+        seen.add(front)
+    drop_staged(edges)
+    return seen.all()
+
+
+def _order(node: str, turn: int) -> Column:
+    """The order of a round: ids themselves in rounds 0, 1, 3, 5 ..., which end stars at once; else by a hash that changes with the round."""
+    plain = turn == 0 or turn % 2 == 1
+    return F.struct((F.lit(0).cast("long") if plain else F.xxhash64(F.lit(turn), F.col(node))).alias("rank"), F.col(node).alias("id"))
+
+
+def contract(edges: DataFrame) -> DataFrame:
+    """(node, component) for both ends of every edge but loops. Each round every node goes into the least of itself and its
+    neighbours; edges between merged nodes go on to the next. By a hashed order a quarter of the nodes with edges is
+    expected to go, whatever the shape and the ids, so rounds are logarithmic, also on a long path with shuffled ids.
+    """
+    low, high = F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")
+    left, steps = staged(edges.where("src <> dst").select(low, high).distinct()), []
+    while not left.isEmpty():
+        turn = len(steps)
+        ends = left.select(F.col("src").alias("node"), _order("dst", turn).alias("to")).unionByName(left.select(F.col("dst").alias("node"), _order("src", turn).alias("to")))
+        steps.append(staged(ends.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("to", _order("node", turn))["id"].alias("into"))))
+        a, b = (steps[-1].select(F.col("node").alias(f"_{x}"), F.col("into").alias(f"_to_{x}")) for x in "ab")
+        merged = left.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).select(F.col("_to_a").alias("src"), F.col("_to_b").alias("dst"))
+        rest = staged(merged.where("src <> dst").select(low, high).distinct())
+        drop_staged(left)
+        left = rest
+    if not steps:
+        return left.select(F.col("src").alias("node"), F.col("dst").alias("component"))
+    drop_staged(left)
+    top = steps.pop()
+    while steps:
+        step = steps.pop()
+        further = top.select(F.col("node").alias("_via"), F.col("into").alias("_top"))
+        whole = staged(step.join(further, F.col("into") == F.col("_via"), "left").select("node", F.coalesce("_top", "into").alias("into")))
+        drop_staged(step, top)
+        top = whole
+    names = top.groupBy(F.col("into").alias("_into")).agg(F.min(F.least("node", "into")).alias("component"))
+    out = staged(top.join(names, F.col("into") == F.col("_into")).select("node", "component"))
+    drop_staged(top)
+    return out
+
+
+def components(edges: DataFrame, vtx: DataFrame) -> DataFrame:
+    """(id, component): the least id of each connected component, an isolated vertex its own."""
+    tied = contract(edges)
+    out = staged(vtx.select("id").join(tied, F.col("id") == F.col("node"), "left").select("id", F.coalesce("component", "id").alias("component")))
+    drop_staged(tied)
+    return out
+
+
+def spanning_forest(edges: DataFrame, vtx: DataFrame) -> DataFrame:
     """(src, dst) with src < dst: in each round every component takes its least arc to another one (by (src, dst)); the components that these arcs join then merge."""
     ordered = staged(edges.where("src < dst").select("src", "dst").distinct())
-    labels, forest = staged(vtx.select("id", F.col("id").alias("component"))), None
-    for _ in range(max_rounds):
+    labels, forest = staged(vtx.select("id", F.col("id").alias("component"))), Pile(ordered.limit(0))
+    while True:
         a, b = (labels.select(F.col("id").alias(f"_{x}"), F.col("component").alias(f"c{x}")) for x in "ab")
         cross = staged(ordered.join(a, F.col("src") == F.col("_a")).join(b, F.col("dst") == F.col("_b")).where("ca <> cb").select(F.struct("src", "dst", "ca", "cb").alias("e")))
+        drop_staged(ordered)
         ends = cross.select(F.col("e.ca").alias("c"), "e").unionByName(cross.select(F.col("e.cb").alias("c"), "e"))
         taken = staged(ends.groupBy("c").agg(F.min("e").alias("e")).select("e.*").distinct())
         if taken.isEmpty():
-            return forest if forest is not None else taken.select("src", "dst")
-        forest = taken.select("src", "dst") if forest is None else forest.unionByName(taken.select("src", "dst"))
-        links = symmetrize(taken.select(F.col("ca").alias("src"), F.col("cb").alias("dst")))
-        merged = components(links, vertices(links)).withColumnRenamed("component", "into").withColumnRenamed("id", "_c")
-        labels = staged(labels.join(merged, F.col("component") == F.col("_c"), "left").select("id", F.coalesce("into", "component").alias("component")))
-        ordered = cross.select("e.src", "e.dst")
-    raise RuntimeError("forest did not settle")
+            drop_staged(labels, cross)
+            return forest.all()
+        forest.add(staged(taken.select("src", "dst")))
+        merged = contract(taken.select(F.col("ca").alias("src"), F.col("cb").alias("dst"))).select(F.col("node").alias("_c"), F.col("component").alias("into"))
+        further = staged(labels.join(merged, F.col("component") == F.col("_c"), "left").select("id", F.coalesce("into", "component").alias("component")))
+        ordered = staged(cross.select("e.src", "e.dst"))
+        drop_staged(labels, cross, taken)
+        labels = further
 
 
 def triangles(edges: DataFrame) -> DataFrame:
@@ -189,35 +223,34 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     return e.join(each, (F.col("src") == F.col("s")) & (F.col("dst") == F.col("d")), "left").select("src", "dst", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def remove_chains(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """The arcs left after vertices without in-arcs or without out-arcs have gone, again and again."""
-    left = staged(edges)
-    n = left.count()
-    for _ in range(max_rounds):
-        has_in, has_out = left.select(F.col("dst").alias("_v")).distinct(), left.select(F.col("src").alias("_v")).distinct()
-        left = staged(left.join(has_in, F.col("src") == F.col("_v"), "left_semi").join(has_out, F.col("dst") == F.col("_v"), "left_semi"))
-        m = left.count()
-        if m == n:
-            return left
+def remove_chains(edges: DataFrame) -> DataFrame:
+    """The arcs left after vertices without in-arcs or without out-arcs have gone, again and again; a round takes one vertex off each end of a chain."""
+    left, n = staged(edges), -1
+    while (m := left.count()) != n:
         n = m
-    raise RuntimeError("chains remain")
+        has_in, has_out = left.select(F.col("dst").alias("_v")).distinct(), left.select(F.col("src").alias("_v")).distinct()
+        rest = staged(left.join(has_in, F.col("src") == F.col("_v"), "left_semi").join(has_out, F.col("dst") == F.col("_v"), "left_semi"))
+        drop_staged(left)
+        left = rest
+    return left
 
 
-def k_core_numbers(edges: DataFrame, max_rounds: int = 10000) -> DataFrame:
+def k_core_numbers(edges: DataFrame) -> DataFrame:
     """(id, core): peel by buckets: the least degree left sets the level, and all at or below it go."""
-    left, level, out = staged(edges), 0, None
-    alive = staged(vertices(edges))
-    for _ in range(max_rounds):
-        if alive.isEmpty():
-            return out
+    left, level = staged(edges.select("src", "dst")), 0
+    alive = staged(vertices(left))
+    out = Pile(alive.select("id", F.lit(0).alias("core")).limit(0))
+    while not alive.isEmpty():
         d = staged(degrees(left, alive))
         level = max(level, next_bucket(d, "degree"))
-        gone = d.where(F.col("degree") <= level).select("id", F.lit(level).alias("core"))
-        out = gone if out is None else out.unionByName(gone)
-        alive = staged(d.where(F.col("degree") > level).select("id"))
-        a = alive.select(F.col("id").alias("_k"))
-        left = staged(left.join(a, F.col("src") == F.col("_k"), "left_semi").join(a, F.col("dst") == F.col("_k"), "left_semi"))
-    raise RuntimeError("peeling did not end")
+        out.add(staged(d.where(F.col("degree") <= level).select("id", F.lit(level).alias("core"))))
+        stay = staged(d.where(F.col("degree") > level).select("id"))
+        a = stay.select(F.col("id").alias("_k"))
+        rest = staged(left.join(a, F.col("src") == F.col("_k"), "left_semi").join(a, F.col("dst") == F.col("_k"), "left_semi"))
+        drop_staged(d, alive, left)
+        alive, left = stay, rest
+    drop_staged(left)
+    return out.all()
 
 
 def edge_map_reduce_dense(edges: DataFrame, vtx: DataFrame, cond: Column, value: Column, zero) -> DataFrame:
@@ -244,16 +277,21 @@ def update_buckets(buckets: DataFrame, changes: DataFrame) -> DataFrame:
     return moved.where("_c is null or _b is not null").select("id", F.coalesce("_b", "bucket").alias("bucket"))
 
 
-def maximal_matching(edges: DataFrame, max_rounds: int = 1000) -> DataFrame:
-    """Speculative rounds of reserve and commit: every arc bids for both ends, the least bid that wins both is taken."""
-    left, out = staged(edges.where("src < dst").select("src", "dst").distinct()), None
-    for _ in range(max_rounds):
-        if left.isEmpty():
-            return out if out is not None else left
-        ends = left.select(F.col("src").alias("v"), F.struct("src", "dst").alias("e")).unionByName(left.select(F.col("dst").alias("v"), F.struct("src", "dst").alias("e")))
-        won = ends.groupBy("v").agg(F.min("e").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.*")
-        won = staged(won)
-        out = won if out is None else out.unionByName(won)
+def maximal_matching(edges: DataFrame, seed: int = 1) -> DataFrame:
+    """Speculative rounds of reserve and commit: every arc bids for both ends, the least bid that wins both is taken.
+
+    Bids are ordered by a hash, so the rounds are logarithmic as expected also on a path whose ids rise.
+    """
+    left = staged(edges.where("src < dst").select("src", "dst").distinct())
+    out = Pile(left.limit(0))
+    while not left.isEmpty():
+        bid = F.struct(F.xxhash64(F.lit(seed), "src", "dst").alias("rank"), "src", "dst").alias("e")
+        ends = left.select(F.col("src").alias("v"), bid).unionByName(left.select(F.col("dst").alias("v"), bid))
+        won = staged(ends.groupBy("v").agg(F.min("e").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("e.src", "e.dst"))
         used = won.select(F.col("src").alias("_u")).unionByName(won.select(F.col("dst").alias("_u")))
-        left = staged(left.join(used, F.col("src") == F.col("_u"), "left_anti").join(used, F.col("dst") == F.col("_u"), "left_anti"))
-    raise RuntimeError("matching did not end")
+        rest = staged(left.join(used, F.col("src") == F.col("_u"), "left_anti").join(used, F.col("dst") == F.col("_u"), "left_anti"))
+        out.add(won)
+        drop_staged(left)
+        left = rest
+    drop_staged(left)
+    return out.all()

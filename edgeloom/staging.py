@@ -7,6 +7,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,4 +40,39 @@ def staged(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         conf.set(_CLEANUP, held)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def drop_staged(*frames: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more."""
+    for df in frames:
+        path = getattr(df, "_staged_at", None)
+        if path:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Pile:
+    """What the rounds of a loop give, as one table. Every 8 tables of a size class are written as one of the next, so a
+    plan over n rounds reads 7 log n tables and a row is written again log n times (to the base of 8).
+    """
+
+    def __init__(self, first: DataFrame):
+        self.classes: list[list[DataFrame]] = []
+        self.add(first)
+
+    def add(self, df: DataFrame, k: int = 0) -> None:
+        """The table added last is only written again when another comes, so a loop may still read it by itself."""
+        if k == len(self.classes):
+            self.classes.append([])
+        if len(self.classes[k]) == 8:
+            whole = staged(reduce(DataFrame.unionByName, self.classes[k]))
+            drop_staged(*self.classes[k])
+            self.classes[k] = []
+            self.add(whole, k + 1)
+        self.classes[k].append(df)
+
+    def all(self) -> DataFrame:
+        return reduce(DataFrame.unionByName, [df for tables in self.classes for df in tables])

@@ -51,6 +51,23 @@ def test_bfs_and_triangles_and_cores(spark):
     assert dict(rows(g.k_core_numbers(e))) == {0: 2, 1: 2, 2: 2, 3: 1, 4: 1}
 
 
+def test_loops_end_on_long_paths_in_any_order(spark):
+    ids = list(range(300))
+    random.Random(7).shuffle(ids)
+    e = both(spark, list(itertools.pairwise(ids)))
+    assert rows(g.components(e, spark.range(301))) == [*((k, 0) for k in range(300)), (300, 300)]
+    f = {frozenset(r) for r in rows(g.spanning_forest(e, spark.range(301)))}
+    assert f == {frozenset(p) for p in itertools.pairwise(ids)}
+    used = [v for r in rows(g.maximal_matching(both(spark, [(k, k + 1) for k in range(300)]))) for v in r]
+    assert len(used) == len({*used}) and all(k in used or k + 1 in used for k in range(300))
+    levels = {r["id"]: (r["level"], r["parent"]) for r in g.bfs(both(spark, list(itertools.pairwise(ids[:20]))), spark.createDataFrame([(ids[0],)], "id long")).collect()}
+    assert levels == {v: (k, ids[k - 1] if k else None) for k, v in enumerate(ids[:20])}
+    assert dict(rows(g.k_core_numbers(both(spark, list(itertools.pairwise(ids[:24])))))) == dict.fromkeys(ids[:24], 1)
+    none = both(spark, [])
+    assert rows(g.components(none, spark.range(2))) == [(0, 0), (1, 1)] and rows(g.spanning_forest(none, spark.range(2))) == []
+    assert rows(g.k_core_numbers(none)) == rows(g.maximal_matching(none)) == rows(g.remove_chains(none)) == []
+
+
 def test_chains_leave_cycles_and_what_lies_between(spark):
     e = spark.createDataFrame([(0, 1), (1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5), (9, 8)], "src long, dst long")
     assert rows(g.remove_chains(e)) == [(1, 2), (2, 1), (2, 3), (3, 4), (4, 3)]
