@@ -21,17 +21,38 @@ def indexed(df: DataFrame, *order: str) -> DataFrame:
     return within.join(F.broadcast(shift), F.col("_part") == F.col("_p")).withColumn("idx", F.col("_n") + F.col("_before")).drop("_part", "_n", "_p", "_before")
 
 
-def scan(seq: DataFrame, fold: str = "sum", inclusive: bool = False, identity: int = 0) -> DataFrame:
-    """(idx, v, s): prefix fold by sum, min or max. Blocks fold first; a block's rows then meet the fold of all blocks before."""
-    f = getattr(F, fold)
-    join = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest}[fold]
-    rows = seq.withColumn("_b", F.floor(F.col("idx") / BLOCK))
+def _before(blocks: DataFrame, fold: str, *lead: str) -> DataFrame:
+    """(*lead, _b, _ahead): the fold of _t over all blocks before in the order of (*lead, _b). Groups of BLOCK blocks fold
+    first, so no task gets more than BLOCK totals, up to BLOCK ** 3 rows of a sequence.
+    """
+    f, upto = getattr(F, fold), (Window.unboundedPreceding, -1)
+    grouped = blocks.withColumn("_g", F.floor(F.col("_b") / BLOCK))
+    tops = grouped.groupBy(*lead, "_g").agg(f("_t").alias("_t"))
+    tops = tops.select(*[F.col(c).alias(f"_{c}_") for c in [*lead, "_g"]], f("_t").over(Window.orderBy(*lead, "_g").rowsBetween(*upto)).alias("_far"))
+    inner = grouped.withColumn("_near", f("_t").over(Window.partitionBy(*lead, "_g").orderBy("_b").rowsBetween(*upto)))
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}_")) for c in [*lead, "_g"]]
+    return inner.join(tops, same).select(*lead, "_b", _folded(fold, F.col("_far"), F.col("_near")).alias("_ahead"))
+
+
+def _folded(fold: str, a: Column, b: Column) -> Column:
+    """The fold of two values; null is the fold of nothing."""
+    if fold == "sum":
+        return F.when(a.isNull() | b.isNull(), F.coalesce(a, b)).otherwise(a + b)
+    return {"min": F.least, "max": F.greatest}[fold](a, b)
+
+
+def _scan(rows: DataFrame, value: str, fold: str, inclusive: bool) -> DataFrame:
+    """rows plus _s, the prefix fold of one column (null for nothing): blocks fold first; a block's rows then meet the fold of all blocks before."""
+    rows = rows.withColumn("_b", F.floor(F.col("idx") / BLOCK))
     upto = Window.partitionBy("_b").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    blocks = rows.groupBy("_b").agg(f("v").alias("_t"))
-    ahead = blocks.select(F.col("_b").alias("_c"), f("_t").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
-    out = rows.withColumn("_w", f("v").over(upto)).join(ahead, F.col("_b") == F.col("_c"))
-    both = F.when(F.col("_w").isNull(), F.col("_ahead")).when(F.col("_ahead").isNull(), F.col("_w")).otherwise(join(F.col("_w"), F.col("_ahead")))
-    return out.select("idx", "v", F.coalesce(both, F.lit(identity)).alias("s"))
+    ahead = _before(rows.groupBy("_b").agg(getattr(F, fold)(value).alias("_t")), fold).withColumnRenamed("_b", "_c")
+    out = rows.withColumn("_w", getattr(F, fold)(value).over(upto)).join(ahead, F.col("_b") == F.col("_c"))
+    return out.withColumn("_s", _folded(fold, F.col("_w"), F.col("_ahead"))).drop("_b", "_c", "_w", "_ahead")
+
+
+def scan(seq: DataFrame, fold: str = "sum", inclusive: bool = False, identity: int = 0) -> DataFrame:
+    """(idx, v, s): prefix fold by sum, min or max."""
+    return _scan(seq.select("idx", "v"), "v", fold, inclusive).select("idx", "v", F.coalesce("_s", F.lit(identity)).alias("s"))
 
 
 def reverse_scan(seq: DataFrame, fold: str = "min") -> DataFrame:
@@ -42,9 +63,8 @@ def reverse_scan(seq: DataFrame, fold: str = "min") -> DataFrame:
 
 
 def pack(seq: DataFrame, flag: Column) -> DataFrame:
-    """(idx, v, at): the flagged elements in order, with their new places."""
-    marks = scan(seq.select("idx", flag.cast("long").alias("v")), "sum").select(F.col("idx").alias("_i"), "s", F.col("v").alias("_f"))
-    return seq.join(marks, F.col("idx") == F.col("_i")).where("_f = 1").select("idx", "v", F.col("s").alias("at"))
+    """(idx, v, at): the flagged elements in order, with their new places. Only they are shuffled."""
+    return _scan(seq.where(flag).select("idx", "v", F.lit(1).cast("long").alias("_one")), "_one", "sum", False).select("idx", "v", F.coalesce("_s", F.lit(0)).alias("at"))
 
 
 def pack_index(seq: DataFrame, flag: Column) -> DataFrame:
@@ -52,15 +72,13 @@ def pack_index(seq: DataFrame, flag: Column) -> DataFrame:
 
 
 def split_by(seq: DataFrame, side: Column) -> DataFrame:
-    """(idx, v, side, at): stable partition by side (0, 1, 2 ...): at is the place after it."""
-    rows = seq.withColumn("side", side)
-    sizes = {r["side"]: r["count"] for r in rows.groupBy("side").count().collect()}
-    out, before = None, 0
-    for s in sorted(sizes):
-        part = pack(rows.select("idx", "v").join(rows.select(F.col("idx").alias("_j"), "side"), F.col("idx") == F.col("_j")).drop("_j"), F.col("side") == s)
-        part = part.select("idx", "v", F.lit(s).alias("side"), (F.col("at") + before).alias("at"))
-        out, before = part if out is None else out.unionByName(part), before + sizes[s]
-    return out if out is not None else rows.withColumn("at", F.col("idx"))
+    """(idx, v, side, at): stable partition by side (0, 1, 2 ...; null first): at is the place after it. One count by (side, block) gives where each begins."""
+    rows = seq.select("idx", "v", side.alias("side"), F.floor(F.col("idx") / BLOCK).alias("_b"))
+    place = F.row_number().over(Window.partitionBy("side", "_b").orderBy("idx")) - 1
+    counts = rows.groupBy("side", "_b").agg(F.count(F.lit(1)).alias("_t"))
+    ahead = _before(counts, "sum", "side").select(F.col("side").alias("_side"), F.col("_b").alias("_c"), "_ahead")
+    placed = rows.withColumn("_n", place).join(ahead, F.col("side").eqNullSafe(F.col("_side")) & (F.col("_b") == F.col("_c")))
+    return placed.select("idx", "v", "side", (F.col("_n") + F.coalesce("_ahead", F.lit(0))).alias("at"))
 
 
 def neighbours(seq: DataFrame, ahead: int = 1, name: str = "next") -> DataFrame:
@@ -144,8 +162,19 @@ def range_min(seq: DataFrame, queries: DataFrame, width: int = 1024) -> DataFram
 
 
 def kth_smallest(seq: DataFrame, k: int) -> DataFrame:
-    """(v): the element at place k of the sorted sequence, by counting values instead of sorting rows."""
-    counts = seq.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    """(v): the element at place k of the sorted sequence; no row if it is shorter.
+
+    Approximate percentiles bracket it and one count tells how many lie below; only the bracket's values are counted and
+    put in order. Should the bracket miss, everything is.
+    """
+    n = seq.where("v is not null").count()
+    if not 0 <= k < n:
+        return seq.select("v").limit(0)
+    low, high = seq.agg(F.percentile_approx("v", [max(0.0, k / n - 3e-4), min(1.0, (k + 1) / n + 3e-4)], 10000)).first()[0]
+    below, inside = seq.agg(F.count_if(F.col("v") < low), F.count_if(F.col("v").between(low, high))).first()
+    hit = below <= k < below + inside
+    k = k - below if hit else k
+    counts = seq.where(F.col("v").between(low, high) if hit else F.col("v").isNotNull()).groupBy("v").agg(F.count(F.lit(1)).alias("n"))
     placed = indexed(counts, "v").select("idx", "n", F.col("v").alias("_x"))
     upto = scan(placed.select("idx", F.col("n").alias("v")), "sum", inclusive=True).select(F.col("idx").alias("_i"), "s", F.col("v").alias("_n"))
     return placed.join(upto, F.col("idx") == F.col("_i")).where((F.col("s") > k) & (F.col("s") - F.col("_n") <= k)).select(F.col("_x").alias("v"))

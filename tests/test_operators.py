@@ -91,6 +91,15 @@ def test_blocks_of_scans_agree_with_one_pass(spark, monkeypatch):
     assert q.max_subsequence(s).first()["best"] == max(0, *(b - a for k, a in enumerate(sums) for b in sums[k:]))
     w = spark.createDataFrame([(k, k, 99 - k) for k in range(50)], "q long, i long, j long")
     assert dict(rows(q.range_min(s, w, 8))) == {k: min(range(k, 100 - k), key=lambda i: (v[i], i)) for k in range(50)}
+    for size in (3, 7):
+        monkeypatch.setattr(q, "BLOCK", size)
+        assert [r["s"] for r in q.scan(s, "max").orderBy("idx").collect()] == [0, *itertools.accumulate(v, max)][:-1]
+        assert [r[1:] for r in rows(q.pack(s, F.col("v") % 3 == 0))] == [(x, k) for k, x in enumerate(x for x in v if x % 3 == 0)]
+        side = [None if x % 5 == 4 else x % 5 for x in v]
+        want = sorted(range(100), key=lambda i: (-1 if side[i] is None else side[i], i))
+        got = q.split_by(s, F.expr("if(pmod(v, 5) = 4, null, pmod(v, 5))")).orderBy("at").collect()
+        assert [(r["at"], r["idx"], r["side"]) for r in got] == [(k, i, side[i]) for k, i in enumerate(want)]
+    assert [q.kth_smallest(s, k).first()["v"] for k in (0, 1, 37, 98, 99)] == [sorted(v)[k] for k in (0, 1, 37, 98, 99)] and q.kth_smallest(s, 100).isEmpty()
     assert rows(q.equal(s, s)) == [(True,)] and rows(q.compare(s, s.where("idx < 50"))) == [(False,)] and rows(q.is_sorted(s)) == [(False,)]
     assert sorted(r["v"] for r in q.shuffle(s, 1).collect()) == sorted(v)
 
