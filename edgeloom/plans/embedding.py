@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.random import below, uniform
 from ..operators.graph import degrees, vertices
-from ..staging import staged
+from ..staging import drop_staged, staged
 from .linalg import bessel_i, combine, dense_embedding, l2_normalize, randomized_svd, sigma_scale, spmm, spmm_sparse, spmv
 
 __all__ = ["downsample_probability", "embed", "inverse_degree_log_matrix", "l2_normalize", "modulated_laplacian", "sampled_walk_matrix", "spectral_propagation", "spmm", "spmm_sparse", "spmv", "trunc_log", "walk_matrix"]
@@ -23,14 +23,18 @@ def _with_degrees(edges: DataFrame) -> DataFrame:
 
 def inverse_degree_log_matrix(edges: DataFrame) -> DataFrame:
     """(row, col, v) on the arcs: ln(1 / d_row) less the log share of col's noise, the 3/4 power of its neighbours' inverse degrees."""
-    e = _with_degrees(edges)
-    noise = e.groupBy(F.col("dst").alias("_j")).agg(F.pow(F.sum(1 / F.col("d_src")), F.lit(0.75)).alias("noise"))
+    base = staged(edges.select("src", "dst"))
+    d = degrees(base).select(F.col("id").alias("_src"), F.col("degree").cast("double").alias("d_src"))
+    e = staged(base.join(d, F.col("src") == F.col("_src")).drop("_src"))
+    drop_staged(base)
+    noise = staged(e.groupBy(F.col("dst").alias("_j")).agg(F.pow(F.sum(1 / F.col("d_src")), F.lit(0.75)).alias("noise")))
     total = noise.agg(F.sum("noise")).first()[0] or 1.0
     return e.join(noise, F.col("dst") == F.col("_j")).select(F.col("src").alias("row"), F.col("dst").alias("col"), (F.ln(1 / F.col("d_src")) - F.ln(F.col("noise") / total)).alias("v"))
 
 
 def walk_matrix(edges: DataFrame, length: int, negative: float = 1.0) -> DataFrame:
     """(row, col, v): m / (negative * length) times the sum over r of P^r / degree of col, exactly, by sparse products."""
+    edges = staged(edges.select("src", "dst"))
     d = degrees(edges)
     step = edges.join(d, F.col("src") == F.col("id")).select(F.col("src").alias("row"), F.col("dst").alias("col"), (F.lit(1.0) / F.col("degree")).alias("v"))
     power = total = step
@@ -49,6 +53,7 @@ def trunc_log(matrix: DataFrame) -> DataFrame:
 
 def downsample_probability(edges: DataFrame, factor: float = 1.0) -> DataFrame:
     """(src, dst, p): the chance that an arc's draw is kept, (1 / d_src + 1 / d_dst) * ln n * factor, at most 1."""
+    edges = staged(edges.select("src", "dst"))
     n = vertices(edges).count()
     return _with_degrees(edges).select("src", "dst", F.least(F.lit(1.0), (1 / F.col("d_src") + 1 / F.col("d_dst")) * (math.log(max(n, 1)) * factor)).alias("p"))
 

@@ -493,6 +493,14 @@ def f1_scores(spark, sf):
     return f1.select(F.round(F.ln(1 + F.col("micro")), 6).alias("micro"), F.round(F.ln(1 + F.col("macro")), 6).alias("macro"))
 
 
+@query()
+def evaluate_splits(spark, sf):
+    """How well the embeddings tell their labels: half of them learn, three splits."""
+    e = t(spark, sf, "embeddings")
+    vec = F.col("embedding").cast("array<double>").alias("vec")
+    return ev.evaluate_splits(e.select(F.col("vec_id").alias("id"), vec), e.select(F.col("vec_id").alias("id"), "label"), 0.5, 3)
+
+
 @query(r"with w as (select unnest(string_split_regex(text, '[\r\t\n\x00 ]+')) as token from documents) select token, count(*) as n from w where token <> '' group by 1")
 def tokens_wordcount(spark, sf):
     return strings.tokens(t(spark, sf, "documents"), "doc_id", "text").groupBy("token").agg(F.count(F.lit(1)).alias("n"))

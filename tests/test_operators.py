@@ -211,3 +211,31 @@ def test_evaluation_learns_separable_labels(spark):
     emb = spark.createDataFrame(data, "id long, vec array<double>")
     labels = spark.range(60).select("id", (F.col("id") % 2).alias("label"))
     assert ev.evaluate(emb, labels, 0.5).first()["micro"] > 0.9
+
+
+def test_regressions_of_all_labels_against_newton(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3))
+    has = [[bool(x[i, 0] + rng.normal() > 0), bool(x[i, 1] - x[i, 2] + rng.normal() > 1)] for i in range(90)]
+    emb = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(90)], "id long, vec array<double>")
+    labels = spark.createDataFrame([(i, name) for i in range(90) for name, h in zip((7, 11), has[i], strict=True) if h], "id long, label long")
+    found = {(r["id"], r["label"]): r["score"] for r in ev.predict_scores(emb, labels, spark.range(60), c=0.7, tol=1e-9).collect()}
+    one = np.hstack([x, np.ones((90, 1))])
+    for k, name in enumerate((7, 11)):
+        y, w = np.array([h[k] for h in has[:60]], float), np.zeros(4)
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-one[:60] @ w))
+            w -= np.linalg.solve(0.7 * (one[:60].T * (p * (1 - p))) @ one[:60] + np.eye(4), 0.7 * one[:60].T @ (p - y) + w)
+        want = 1 / (1 + np.exp(-one[60:] @ w))
+        assert np.allclose([found[i, name] for i in range(60, 90)], want, atol=1e-6)
+    assert len(found) == 60 and ev.predict_scores(emb, labels.limit(0), spark.range(60)).isEmpty() and ev.predict_scores(emb, labels, spark.range(0)).isEmpty()
+
+
+def test_repeated_splits_give_means_and_deviations(spark):
+    rng = np.random.default_rng(4)
+    emb = spark.createDataFrame([(i, [float(v) for v in rng.normal(i % 2, 1, 2)]) for i in range(60)], "id long, vec array<double>")
+    labels = spark.range(60).select("id", (F.col("id") % 2).alias("label"))
+    runs = np.array([tuple(ev.evaluate(emb, labels, 0.5, 3 + k).first()) for k in range(2)]) * 100
+    r = ev.evaluate_splits(emb, labels, 0.5, 2, 3).first()
+    assert (r["train_share"], r["splits"]) == (0.5, 2)
+    assert np.allclose([r["micro"], r["macro"], r["micro_std"], r["macro_std"]], [*runs.mean(0), *runs.std(0)])
